@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repetition",)
+MODULES = ("components", "repetition")
 
 
 def _merged(name: str) -> dict:
