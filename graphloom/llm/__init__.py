@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("components", "repetition")
+MODULES = ("components", "mixing", "packing", "repetition", "similar")
 
 
 def _merged(name: str) -> dict:
