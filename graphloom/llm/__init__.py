@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("components", "mixing", "packing", "repetition", "similar")
+MODULES = ("components", "mixing", "packing", "repetition", "sentence_bounds", "similar")
 
 
 def _merged(name: str) -> dict:
