@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("components", "markup", "mixing", "packing", "repetition", "sentence_bounds", "similar")
+MODULES = ("components", "markup", "mixing", "packing", "repetition", "scan_repair", "sentence_bounds", "similar")
 
 
 def _merged(name: str) -> dict:
