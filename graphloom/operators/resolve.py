@@ -86,22 +86,27 @@ def scored_pairs(
     """(left_entity_id, right_entity_id, entity_type, name_score, context_score, total_score,
     same_name, identical, action).
 
-    All pairs of active entities of one type whose total reaches ``candidate``. As a context adds at most
-    its weight, a pair needs a name score of (candidate - 0.3) / 0.7 at least, or equal names; contexts
-    are compared for those only. Names whose keys are equal make the total 1.
+    Pairs of active entities of one type whose total reaches ``candidate``. Entities of one type and name
+    key form a class whose names make the total 1; each is paired with its class's first id, and classes
+    are compared by that one, so copies aren't expanded into all their pairs. As a context adds at most its
+    weight, a pair of classes needs a name score of (candidate - 0.3) / 0.7 at least; contexts are compared
+    for those only.
     """
     check_thresholds(auto, candidate)
     e = entities.where("active and id is not null and entity_type is not null and preferred_name is not null")
     e = e.select("id", "entity_type", "preferred_name").withColumn("name_key", resolution_key_of(F.col("preferred_name")))
+    first = e.groupBy("entity_type", "name_key").agg(F.min("id").alias("first_id"), F.min_by("preferred_name", "id").alias("first_name"))
+    e = e.join(first, ["entity_type", "name_key"])
+    heads = e.where("id = first_id")
     names = sparse_vectors(e.select(F.col("preferred_name").alias("text"), "id", "entity_type"))
     floor = (candidate - CONTEXT_WEIGHT) / NAME_WEIGHT - 1e-9
-    near = similar_pairs(names, max(floor, 0.05)).withColumnRenamed("score", "name_score")
-    left = e.select(F.col("id").alias("left_id"), "name_key", "entity_type", F.col("preferred_name").alias("left_name"))
-    right = e.select(F.col("id").alias("right_id"), "name_key", "entity_type", F.col("preferred_name").alias("right_name"))
-    same = left.join(right, ["name_key", "entity_type"]).where("left_id < right_id").select(
-        "left_id", "right_id", "entity_type", F.lit(True).alias("same_name"), (F.col("left_name") == F.col("right_name")).alias("identical")
-    )
-    pairs = near.join(same, ["left_id", "right_id", "entity_type"], "full")
+    near = similar_pairs(names.join(heads.select("id"), "id", "left_semi"), max(floor, 0.05)).withColumnRenamed("score", "name_score")
+    same = e.where("id <> first_id").select(
+        F.col("first_id").alias("left_id"), F.col("id").alias("right_id"), "entity_type", F.lit(True).alias("same_name"),
+        (F.col("first_name") == F.col("preferred_name")).alias("identical"),
+    )
+    same = same.join(pair_scores(names, same.select("left_id", "right_id")).withColumnRenamed("score", "name_score"), ["left_id", "right_id"], "left")
+    pairs = near.unionByName(same, allowMissingColumns=True)
     if rejected is not None:
         pairs = unrejected(pairs.withColumnsRenamed({"left_id": "left_entity_id", "right_id": "right_entity_id"}), rejected).withColumnsRenamed(
             {"left_entity_id": "left_id", "right_entity_id": "right_id"}
