@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,9 +152,9 @@ def auto_merges_with_rejected(entities: DataFrame, rejected: DataFrame) -> DataF
     plain = auto_merges(entities.join(touched.select("entity_type", "preferred_name"), ["entity_type", "preferred_name"], "left_anti"))
     hard = e.join(touched, ["entity_type", "preferred_name"])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(rows["id"]))
-        banned = {tuple(x.split("\n")) for x in rows["no"].iloc[0]}
+    def walk(rows: pa.Table) -> pa.Table:
+        ids = sorted(set(rows.column("id").to_pylist()))
+        banned = {tuple(x.split("\n")) for x in rows.column("no")[0].as_py()}
         gone: dict[str, str] = {}
         for i, a in enumerate(ids):
             if a in gone:
@@ -162,9 +162,9 @@ def auto_merges_with_rejected(entities: DataFrame, rejected: DataFrame) -> DataF
             for b in ids[i + 1 :]:
                 if b not in gone and (a, b) not in banned:
                     gone[b] = a
-        return pd.DataFrame({"id": list(gone), "survivor_id": list(gone.values())}, columns=["id", "survivor_id"])
+        return pa.table({"id": pa.array(list(gone), pa.string()), "survivor_id": pa.array(list(gone.values()), pa.string())})
 
-    return plain.unionByName(hard.groupBy("entity_type", "preferred_name").applyInPandas(walk, "id string, survivor_id string"))
+    return plain.unionByName(hard.groupBy("entity_type", "preferred_name").applyInArrow(walk, "id string, survivor_id string"))
 
 
 def kept_candidates(pairs: DataFrame, merged: DataFrame) -> DataFrame:

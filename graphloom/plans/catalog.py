@@ -572,11 +572,13 @@ select document_id, kappa, case when kappa is null then '无法计算' when kapp
 select a.vec_id as left_id, b.vec_id as right_id, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.3""")
 def cosine_pairs(spark, sf_dir):
     """FN30, JN8: similar vectors of one label."""
-    v = table(spark, sf_dir, "embeddings")
-    a = v.select(F.col("vec_id").alias("left_id"), "label", F.col("embedding").alias("x"))
-    b = v.select(F.col("vec_id").alias("right_id"), "label", F.col("embedding").alias("y"))
-    score = numbers.cosine(F.col("x"), F.col("y"))
-    return a.join(b, "label").where("left_id < right_id").withColumn("s", score).where("s >= 0.3").select("left_id", "right_id", F.round("s", 6).alias("score"))
+    # lengths are divided out once per vector, not once per pair
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding"), numbers.dot(F.col("embedding"), F.col("embedding")).alias("sq"))
+    v = v.select("vec_id", "label", F.when(F.col("sq") > 0, F.transform("embedding", lambda x: x.cast("double") / F.sqrt("sq"))).alias("u"))
+    a = v.select(F.col("vec_id").alias("left_id"), "label", F.col("u").alias("x"))
+    b = v.select(F.col("vec_id").alias("right_id"), "label", F.col("u").alias("y"))
+    score = numbers.dot(F.col("x"), F.col("y"))
+    return a.join(b, "label").where("left_id < right_id").select("left_id", "right_id", score.alias("s")).where("s >= 0.3").select("left_id", "right_id", F.round("s", 6).alias("score"))
 
 
 @query(with_sql("c", """select id, case when total_score >= 0.99 then 'auto_merge' when total_score >= 0.85 then 'candidate' else 'ignore' end as action, printf('%.2f%%', total_score * 100) as shown from c"""))
