@@ -135,10 +135,12 @@ def _depths(text: str, found: list[Place]) -> None:
             at, ch = marks[k], text[marks[k]]
             k += 1
             if ch == '"':
-                if '"' in stack:
+                before, after = text[at - 1 : at], text[at + 1 : at + 2]
+                opens = after.strip() != "" and (before.strip() == "" or before in _OPENING) and after not in ".,;:)"
+                if opens:
+                    stack.append('"')  # quotes of one shape may nest
+                elif '"' in stack:
                     del stack[len(stack) - 1 - stack[::-1].index('"') :]
-                elif at + 1 < len(text) and not text[at + 1].isspace() and (at == 0 or text[at - 1].isspace() or not text[at - 1].isalnum()):
-                    stack.append('"')
             elif stack and ch == stack[-1]:
                 stack.pop()
             elif ch in _PAIR:
@@ -187,7 +189,8 @@ def _features(text: str, a: int, mark: str, b: int, start: int, cited: bool) ->
         out += [f"p{kind}{opening[:1]}", f"q{kind}{opening[:3]}", f"r{kind}{opening[:6]}"]
     if len(before) <= 4:
         prior = _word_before(text, max(0, a - len(before) - 1)) if left > 0 else ""
-        out += [f"b{kind}{prior}|{before}", f"c{kind}{before}|{opening[:10]}"]
+        initials = len(prior) == 2 and prior[0].isupper() and prior[1] == "."
+        out += [f"i{kind}{initials}|{ends}|{shape}", f"b{kind}{prior}|{before}", f"c{kind}{before}|{opening[:10]}"]
     return tuple(out)
 
 
@@ -216,12 +219,18 @@ def fit(rows: Iterable[tuple[str, str]]) -> dict:
             if p.end > len(text):
                 break
             at_end = p.end >= len(text)
-            if p.depth == 0 or at_end:
-                examples.append((p.features, int(at_end)))
+            examples.append((p.features, int(at_end)))
             if not at_end:
                 cuts[_bucket(p.end - last)] += 1
                 last = p.start
         spans[_bucket(len(text))] += 1
+    counts: dict[str, int] = {}
+    for names, _ in examples:
+        for f in names:
+            counts[f] = counts.get(f, 0) + 1
+    # a feature of few cases would only learn the earlier splitter's mistakes by heart
+    least = 5 if len(examples) > 20_000 else 2
+    examples = [(tuple(f for f in names if counts[f] >= least), label) for names, label in examples]
     weights: dict[str, float] = {}
     grads: dict[str, float] = {}
     rng = np.random.default_rng(SEED)
@@ -256,16 +265,17 @@ def segment(text: str, model: dict) -> list[tuple[int, int]]:
     starts = [begin] + [p.start for p in found]
     depths = [0] + [p.depth for p in found]
     ends = [p.end for p in found] + [stop]
+    whole = Place(stop, stop)
+    _depths(text[:stop], [whole])
     closing = [sum(weights.get(f, 0.0) for f in p.features) for p in found] + [0.0]
-    last_depth = 0 if depths[-1] == 0 else depths[-1]
-    after = depths[1:] + [last_depth]
+    after = depths[1:] + [whole.depth]
     k = len(ends)
     best, back = [0.0] + [-math.inf] * k, [0] * (k + 1)
     if k <= 12:
         for j in range(k):
             top, arg = -math.inf, 0
             for i in range(j + 1):
-                s = best[i] + lengths[_bucket(ends[j] - starts[i])] - (UNBALANCED if after[j] != depths[i] and j < k - 1 else 0.0)
+                s = best[i] + lengths[_bucket(ends[j] - starts[i])] - (UNBALANCED if after[j] != depths[i] else 0.0)
                 if s > top:
                     top, arg = s, i
             best[j + 1], back[j + 1] = top + closing[j], arg
@@ -275,7 +285,7 @@ def segment(text: str, model: dict) -> list[tuple[int, int]]:
         score[0] = 0.0
         for j in range(k):
             size = np.searchsorted(_LENGTHS, ends[j] - at[: j + 1], side="left")
-            s = score[: j + 1] + table_of[size] - (UNBALANCED * (deep[: j + 1] != after[j]) if j < k - 1 else 0.0)
+            s = score[: j + 1] + table_of[size] - UNBALANCED * (deep[: j + 1] != after[j])
             back[j + 1] = int(s.argmax())
             score[j + 1] = s[back[j + 1]] + closing[j]
     out, j = [], k

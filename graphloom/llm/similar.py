@@ -26,8 +26,8 @@ SAMPLE = 32768
 #: Expected vectors of a leaf.
 LEAF = 2048
 #: A vector also visits leaves whose centroid is at most so many radians farther than the nearest.
-MARGIN = 0.10
-VISITS = 8
+MARGIN = 0.13
+VISITS = 10
 #: Bits a query's coordinate is quantised to, and the width of the error bound in deviations.
 QUERY_BITS = 4
 BOUND = 2.2
