@@ -169,4 +169,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_repetition": p8_repetition}
-SQL: dict[str, str] = {}
+
+_WS = r"[ \t\n\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+SQL = {
+    "p8_found": f"""
+with n as (select distinct doc_id, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') as t from documents where length(text) > 30),
+w as (select doc_id, length(t) as size, i, substring(t, i, 30) as piece from (select doc_id, t, unnest(range(1, length(t) - 28)) as i from n where length(t) > 30)),
+r as (select doc_id, size, i from (select *, min(i) over (partition by doc_id, piece) as first from w) where i > first),
+c as (select doc_id, size, least(30, coalesce(lead(i) over (partition by doc_id order by i) - i, 30)) as covered from r)
+select doc_id from c group by doc_id, size having sum(covered) >= 0.25 * size"""
+}
