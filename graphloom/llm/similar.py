@@ -279,11 +279,13 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, margin: float
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(max(total, 1))) < SAMPLE)
     sample = picked.select("embedding").toArrow().column(0)
     sample = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample.chunks] or [np.zeros(0, np.float32)])
-    centroids = spark.sparkContext.broadcast(fit_leaves(sample.reshape(-1, DIM).astype(np.float32), total))
+    fitted = fit_leaves(sample.reshape(-1, DIM).astype(np.float32), total)
+    centroids = spark.sparkContext.broadcast(fitted)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(fitted) // 2)  # a few leaves a task at any size
     routed = rows.mapInArrow(
         _route(centroids, k, margin, VISITS), "leaf int, home boolean, h bigint, ids array<bigint>, v binary"
     )
-    found = routed.groupBy("leaf").applyInArrow(_search(centroids, k, least), "h bigint, other bigint, sim int")
+    found = routed.repartition(tasks, "leaf").groupBy("leaf").applyInArrow(_search(centroids, k, least), "h bigint, other bigint, sim int")
     lists = (
         found.repartition("h")
         .groupBy("h", "other")
