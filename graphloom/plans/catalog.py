@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names, numbers
 from graphloom.functions import text as X
-from graphloom.operators import agreement, annotate, blocks, embed, graph, maintain, resolve, suggest, units
+from graphloom.operators import agreement, annotate, blocks, embed, graph, ingest, maintain, resolve, suggest, units
 from graphloom.operators import current as C
 from graphloom.operators.current import REVIEWED, with_sql
 from graphloom.runtime import table
@@ -733,3 +733,44 @@ def prompt_render(spark, sf_dir):
 def supply_graph_edges(spark, sf_dir):
     """AG5 at scale: edges between suppliers and parts, orders as their papers."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("relation_type"), F.col("l_partkey").alias("target_id")).agg(F.count("*").alias("evidence_count"), F.countDistinct("l_orderkey").alias("document_count"))
+
+
+@query()
+def ingested_sentences(spark, sf_dir):
+    """SRC3, SRC7: sentences made anew from the blocks of digital papers (tested on parser output)."""
+    return ingest.ingested(_parsed(spark, sf_dir)).select("id", "document_id", "ordinal", "page_number", "text", "context_before", "context_after", "is_formula")
+
+
+@query(with_sql("p s", f"select s.id as sentence_id, s.ordinal, case when {_formula('s.text')} then 'formula' else 'sentence' end as content_type from s where document_id = (select min(id) from p)"))
+def sentence_listing(spark, sf_dir):
+    """PRJ2, SRT2, FLT1: the first paper's sentences with their kind."""
+    first = C.papers(spark, sf_dir).agg(F.min("id").alias("document_id"))
+    rows = C.sentences(spark, sf_dir).join(first, "document_id", "left_semi")
+    return rows.select(F.col("id").alias("sentence_id"), "ordinal", F.when(X.is_formula(F.col("text")), "formula").otherwise("sentence").alias("content_type"))
+
+
+@query(with_sql("s m r", f"""{_EDGES}, t as (select node_id, count(*) as n from n group by 1 order by n desc, node_id limit 160)
+select ed.* from ed where source_id in (select node_id from t) and target_id in (select node_id from t)"""))
+def drawn_edges(spark, sf_dir):
+    """JN14, LIM2: edges between the nodes that are drawn."""
+    n = graph.global_nodes(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir), C.entities(spark, sf_dir))
+    return graph.edges_within(_edges(spark, sf_dir), graph.top_nodes(n)).select("source_id", "relation_type", "target_id", "evidence_count", "document_count")
+
+
+@query(with_sql("m", """x as (select sentence_id, text, entity_type, start_offset, end_offset, source from m) select distinct a.sentence_id, a.text, a.entity_type, a.start_offset, a.end_offset from x a
+where a.source = 'llm' and not exists (select 1 from x b where b.source = 'manual' and a.sentence_id is not distinct from b.sentence_id and a.text is not distinct from b.text and a.entity_type is not distinct from b.entity_type and a.start_offset is not distinct from b.start_offset and a.end_offset is not distinct from b.end_offset)"""))
+def new_suggestions(spark, sf_dir):
+    """JN15: suggested spans that no manual mention equals."""
+    keys = ["sentence_id", "text", "entity_type", "start_offset", "end_offset"]
+    m = C.mentions(spark, sf_dir)
+    return annotate.new_suggestions(m.where("source = 'llm'").select(*keys).distinct(), m.where("source = 'manual'"), keys)
+
+
+@query(with_sql("e c", """x as (select 1) select e.id, e.entity_type, count(*) filter (c.status = 'pending') as pending, count(c.id) as candidates
+from e join c on e.id = c.left_entity_id or e.id = c.right_entity_id group by 1, 2"""))
+def candidates_per_entity(spark, sf_dir):
+    """FLT4: candidates that touch an entity on either side, by a union of both sides."""
+    c = C.candidates(spark, sf_dir)
+    sides = [c.select(F.col(f"{side}_entity_id").alias("id"), F.col("id").alias("candidate_id"), "status") for side in ("left", "right")]
+    touched = sides[0].unionByName(sides[1]).distinct()
+    return C.entities(spark, sf_dir).select("id", "entity_type").join(touched, "id").groupBy("id", "entity_type").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("candidates"))

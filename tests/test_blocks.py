@@ -132,3 +132,55 @@ def test_sources(spark, tmp_path):
         readers.unpack(str(tmp_path / "z.zip"), str(tmp_path / "out"))
     assert readers.parser_for(readers.Settings()) == "local" and readers.parser_for(readers.Settings(parser_key="k")) == "remote"
     assert readers.Settings.from_env({"GRAPHLOOM_CANDIDATE_THRESHOLD": "0.5"}).candidate_threshold == 0.5
+
+
+def test_ingest(spark):
+    from graphloom.operators import ingest
+
+    rows = [("d", 0, 1, "title", "A title of it", None), ("d", 1, 1, "text", "One grew. Two fell in the wide and open field of all the many tests that we ran over the years and in every single place.", None), ("d", 2, 1, "equation", "$$a = b + c$$", [1.0, 2.0, 3.0, 4.0]), ("d", 3, 2, "text", "Three held.", None), ("e", 0, 1, "header", "x", None)]
+    parsed = spark.createDataFrame(rows, "document_id string, block_no int, page_number int, block_type string, text string, bbox array<double>")
+    out = ingest.ingested(parsed)
+    got = [(r.id, r.text, r.context_before, r.context_after) for r in out.orderBy("ordinal").collect()]
+    assert [x[0] for x in got] == ["d-0", "d-1", "d-2", "d-3"] and got[2][1] == "$$a = b + c$$" and got[2][2].startswith("Two fell") and got[2][3] == "Three held."
+    assert {r.document_id: r.status for r in ingest.ingest_status(parsed, out).collect()} == {"d": "reviewable", "e": "parse_failed"}
+    assert ingest.formula_assets(out, parsed).first().bbox == [1.0, 2.0, 3.0, 4.0]
+    assert [r.content_type for r in ingest.sentence_listing(out, "d").collect()] == ["sentence", "sentence", "formula", "sentence"]
+
+
+def test_remote(tmp_path):
+    import io
+    import zipfile
+
+    from graphloom.sources import remote
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a_content_list.json", "[]")
+
+    class Fake:
+        def __init__(self, states):
+            self.states = list(states)
+
+        def create(self, name):
+            return "b", "up"
+
+        def put(self, address, data):
+            assert address == "up" and data == b"%PDF"
+
+        def state(self, batch):
+            return self.states.pop(0) if len(self.states) > 1 else self.states[0]
+
+        def fetch(self, address):
+            return box.getvalue()
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    ticks = iter(range(0, 10_000, 400))
+    call = lambda s: remote.parse_remotely(str(tmp_path / "a.pdf"), str(tmp_path / "out"), Fake(s), clock=lambda: next(ticks), sleep=lambda _: None)
+    assert call([("running", ""), ("done", "x")]).endswith("a_content_list.json")
+    with pytest.raises(RuntimeError):
+        call([("failed", "why")])
+    with pytest.raises(TimeoutError):
+        call([("running", "")])
+    assert remote.ordered_vectors([{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}], 2, 1) == [[1.0], [2.0]]
+    with pytest.raises(ValueError):
+        remote.remote_embedder(lambda t, d: [], 256)(["x"])
