@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from graphloom.runtime import table
 
-#: Rows of the earlier splitter the weights are fitted on, at most about so many; whole papers are drawn.
-TRAINING_ROWS = 40_000
+#: Rows of the earlier splitter the weights are fitted on, at most about so many, in stretches of a paper.
+TRAINING_ROWS, STRETCH = 40_000, 50
 EPOCHS = 4
 UNBALANCED = 6.0
 SEED = 11
@@ -295,12 +295,16 @@ def segment(text: str, model: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def training_rows(sentences: DataFrame, most: int = TRAINING_ROWS) -> list[tuple[str, str]]:
-    """Rows of digital papers with the row after each; whole papers are drawn by hash, about ``most`` rows."""
+def training_rows(sentences: DataFrame, most: int = TRAINING_ROWS, stretch: int = STRETCH) -> list[tuple[str, str]]:
+    """Rows of digital papers with the row after each, about ``most``.
+
+    Stretches of consecutive rows are drawn by hash, so a paper of any length adds its share only.
+    """
     rows = sentences.where("layer = 'digital' and text is not null and document_id is not null").select("document_id", "ordinal", "text")
     total = max(1, rows.count())
-    drawn = rows.where(F.pmod(F.xxhash64("document_id", F.lit(SEED)), F.lit(total)) < most).distinct()
-    follows = F.lead("text").over(W.partitionBy("document_id").orderBy("ordinal", "text"))
+    rows = rows.withColumn("stretch", F.floor(F.col("ordinal") / stretch))
+    drawn = rows.where(F.pmod(F.xxhash64("document_id", "stretch", F.lit(SEED)), F.lit(total)) < most).distinct()
+    follows = F.lead("text").over(W.partitionBy("document_id", "stretch").orderBy("ordinal", "text"))
     kept = drawn.withColumn("following", follows).toArrow().to_pydict()
     order = sorted(range(len(kept["text"])), key=lambda i: (kept["document_id"][i], kept["ordinal"][i] or 0, kept["text"][i]))
     return [(kept["text"][i], kept["following"][i] or "") for i in order]

@@ -277,7 +277,7 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, margin: float
     rows = usable(vectors)
     total = rows.count()
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(max(total, 1))) < SAMPLE)
-    sample = picked.select("embedding").toArrow().column(0)
+    sample = picked.dropDuplicates(["vec_id"]).select("embedding").toArrow().column(0)
     sample = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample.chunks] or [np.zeros(0, np.float32)])
     fitted = fit_leaves(sample.reshape(-1, DIM).astype(np.float32), total)
     centroids = spark.sparkContext.broadcast(fitted)
