@@ -131,41 +131,42 @@ def unpack(archive: str, target: str) -> None:
         z.extractall(target)
 
 
+def _nodes_with_text(node: Any) -> set[int]:
+    """Identities of the nodes that hold any text, found without recursion."""
+    order, todo = [], [(node, 0)]
+    while todo:
+        x, parent = todo.pop()
+        if isinstance(x, (dict, list)):
+            order.append((x, parent))
+            inside = x if isinstance(x, list) else [v for k, v in x.items() if k not in ("bbox", "type")]
+            todo += [(y, id(x)) for y in inside if isinstance(y, (dict, list))]
+    found: set[int] = set()
+    for x, parent in reversed(order):
+        if id(x) in found or (isinstance(x, dict) and isinstance(x.get("content"), str) and x["content"]):
+            found |= {id(x), parent}
+    return found
+
+
 def rendered(node: Any) -> str:
     """The text of a parse node, iteratively so that depth is no limit: inline formulas in $, display ones in $$."""
+    telling = _nodes_with_text(node)
     out: list[str] = []
     todo: list[Any] = [node]
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif isinstance(x, list):
+        if isinstance(x, list):
             todo += [y for y in reversed(x) if isinstance(y, (list, dict))]
         elif isinstance(x, dict):
             kind, held = str(x.get("type", "")), x.get("content")
             if isinstance(held, str):
                 out.append(f" ${held.strip()}$ " if kind == "equation_inline" else f"$${held.strip()}$$" if kind in EQUATION_TYPES else held)
-            elif held is not None and rendered_any(held):
+            elif id(held) in telling:
                 todo.append(held)
             else:
                 todo += [v for k, v in reversed(list(x.items())) if k not in ("bbox", "type") and isinstance(v, (list, dict))]
     return "".join(out)
 
 
-def rendered_any(node: Any) -> bool:
-    """Whether a node holds any text."""
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, dict):
-            if isinstance(x.get("content"), str) and x["content"]:
-                return True
-            todo += [v for k, v in x.items() if k not in ("bbox", "type")]
-        elif isinstance(x, list):
-            todo += x
-    return False
-
-
 def _box(value: Any) -> list[float] | None:
     try:
         return [float(v) for v in value] if isinstance(value, list) and len(value) == 4 else None
