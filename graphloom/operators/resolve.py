@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.names import aliases_of, resolution_key_of
 from graphloom.functions.numbers import AUTO_MERGE, CANDIDATE, CONTEXT_WEIGHT, NAME_WEIGHT, similarity_class, total_score
-from graphloom.operators.embed import sparse_vectors
+from graphloom.operators.embed import DIMENSIONS, sparse_vectors
+from graphloom.runtime import materialise
 
 CONTEXT_SENTENCES = 5
+#: Vectors of one type that are multiplied with each other in one task, about.
+BLOCK = 4096
 
 
 def check_thresholds(auto: float, candidate: float) -> None:
@@ -62,22 +66,41 @@ def pair_scores(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(left_id, right_id, entity_type, score) of pairs of one type with a cosine of at least ``least``, exact.
 
-    Buckets are ordered rarest first. A pair this similar shares its first common bucket inside both
-    vectors' prefixes, the part before what is left has a length below ``least``; only prefixes are
-    joined, so common trigrams at the end of many names meet nobody.
+    With 256 buckets most names of a large type share one, so the pairs aren't joined: each type is cut into
+    blocks of about BLOCK vectors by hash, and each pair of blocks is multiplied whole; only pairs that reach
+    ``least`` leave a task.
     """
-    frequency = vectors.groupBy("bucket").agg(F.count("*").alias("f"))
-    rare = vectors.join(F.broadcast(frequency), "bucket")  # at most one row per bucket
-    ordered = F.array_sort(F.collect_list(F.struct("f", "bucket", "weight")))
-    a = rare.groupBy("id", "entity_type").agg(ordered.alias("o"))
-    rest = lambda i: F.aggregate(F.slice("o", i + 1, F.size("o")), F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])
-    marked = F.filter(F.transform("o", lambda x, i: F.struct(x["bucket"].alias("bucket"), rest(i).alias("rest"))), lambda x: x["rest"] >= least * least - 1e-9)
-    prefix = a.select("id", "entity_type", F.explode(F.transform(marked, lambda x: x["bucket"])).alias("bucket"))
-    left = prefix.withColumnRenamed("id", "left_id")
-    right = prefix.withColumnRenamed("id", "right_id")
-    met = left.join(right, ["entity_type", "bucket"]).where("left_id < right_id").select("entity_type", "left_id", "right_id").distinct()
-    scored = pair_scores(vectors, met.select("left_id", "right_id"))
-    return met.join(scored, ["left_id", "right_id"]).where(F.col("score") >= least)
+    rows = vectors.groupBy("id", "entity_type").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+    sizes = vectors.select("id", "entity_type").distinct().groupBy("entity_type").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(sizes, "entity_type").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("id", "entity_type", "b", "w", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def multiply(t: pa.Table) -> pa.Table:
+        ids, block = np.array(t.column("id").to_pylist(), object), t.column("block").to_numpy()
+        kind, lo, hi = t.column("entity_type")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        b = t.column("b").combine_chunks()
+        dense = np.zeros((len(ids), DIMENSIONS))
+        at = np.repeat(np.arange(len(ids)), np.asarray(b.value_lengths()))
+        dense[at, np.asarray(b.flatten())] = np.asarray(t.column("w").combine_chunks().flatten())
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        left, right, score = [], [], []
+        for start in range(0, len(x), 512):
+            part = x[start : start + 512]
+            s = dense[part] @ dense[y].T
+            i, j = np.nonzero(s >= least)
+            i, j, s = part[i], y[j], s[i, j]
+            keep = (i < j) if lo == hi else np.ones(len(i), bool)
+            left += list(ids[i[keep]])
+            right += list(ids[j[keep]])
+            score += s[keep].tolist()
+        ends = [(p, q) if p < q else (q, p) for p, q in zip(left, right)]
+        return pa.table({
+            "left_id": pa.array([p for p, _ in ends], pa.string()), "right_id": pa.array([q for _, q in ends], pa.string()),
+            "entity_type": pa.array([kind] * len(ends), pa.string()), "score": pa.array(score, pa.float64()),
+        })
+
+    return sent.groupBy("entity_type", "lo", "hi").applyInArrow(multiply, "left_id string, right_id string, entity_type string, score double")
 
 
 def scored_pairs(
@@ -86,31 +109,45 @@ def scored_pairs(
     """(left_entity_id, right_entity_id, entity_type, name_score, context_score, total_score,
     same_name, identical, action).
 
-    Pairs of active entities of one type whose total reaches ``candidate``. Entities of one type and name
-    key form a class whose names make the total 1; each is paired with its class's first id, and classes
-    are compared by that one, so copies aren't expanded into all their pairs. As a context adds at most its
-    weight, a pair of classes needs a name score of (candidate - 0.3) / 0.7 at least; contexts are compared
-    for those only.
+    Every pair the loop over all pairs of active entities of one type keeps, taken best total first and then
+    in id order: the total reaches ``candidate``, nobody rejected the pair, and neither end was merged away
+    before its turn. Entities of equal type and name are merged first of all, so only survivors are compared
+    with other names, one head for each name, and a rejection takes off its own pair alone. Where name keys
+    are equal the total is 1 and the turn comes with the merges: a survivor also meets those whose own
+    survivor comes later. As a context adds at most its weight, names with different keys need a name score
+    of (candidate - 0.3) / 0.7 at least; contexts are compared for those only.
     """
     check_thresholds(auto, candidate)
+    merges = auto_merges(entities) if rejected is None else auto_merges_with_rejected(entities, rejected)
     e = entities.where("active and id is not null and entity_type is not null and preferred_name is not null")
-    e = e.select("id", "entity_type", "preferred_name").withColumn("name_key", resolution_key_of(F.col("preferred_name")))
-    first = e.groupBy("entity_type", "name_key").agg(F.min("id").alias("first_id"), F.min_by("preferred_name", "id").alias("first_name"))
-    e = e.join(first, ["entity_type", "name_key"])
-    heads = e.where("id = first_id")
-    names = sparse_vectors(e.select(F.col("preferred_name").alias("text"), "id", "entity_type"))
+    e = e.select("id", "entity_type", "preferred_name").withColumn("name_key", resolution_key_of(F.col("preferred_name"))).join(merges, "id", "left")
+    e = materialise(e, "named")
+    live = e.where("survivor_id is null")
+    heads = live.groupBy("entity_type", "preferred_name", "name_key").agg(F.min("id").alias("head_id"))
+    names = sparse_vectors(heads.select(F.col("preferred_name").alias("text"), F.col("head_id").alias("id"), "entity_type"))
     floor = (candidate - CONTEXT_WEIGHT) / NAME_WEIGHT - 1e-9
-    near = similar_pairs(names.join(heads.select("id"), "id", "left_semi"), max(floor, 0.05)).withColumnRenamed("score", "name_score")
-    same = e.where("id <> first_id").select(
-        F.col("first_id").alias("left_id"), F.col("id").alias("right_id"), "entity_type", F.lit(True).alias("same_name"),
-        (F.col("first_name") == F.col("preferred_name")).alias("identical"),
+    near = similar_pairs(names, max(floor, 0.05)).withColumnRenamed("score", "name_score")
+    # a name has one survivor, and more only where pairs of that name were rejected
+    ends = live.join(heads, ["entity_type", "preferred_name", "name_key"])
+    for side in ("left", "right"):
+        near = near.join(ends.select(F.col("head_id").alias(f"{side}_id"), F.col("id").alias(f"{side}_end"), F.col("name_key").alias(f"{side}_key")), f"{side}_id")
+    near = near.where("left_key <> right_key").select(
+        F.least("left_end", "right_end").alias("left_id"), F.greatest("left_end", "right_end").alias("right_id"), "entity_type", "name_score",
+        F.lit(False).alias("same_name"), F.lit(False).alias("identical"),
     )
-    same = same.join(pair_scores(names, same.select("left_id", "right_id")).withColumnRenamed("score", "name_score"), ["left_id", "right_id"], "left")
-    pairs = near.unionByName(same, allowMissingColumns=True)
+    first = live.select("entity_type", "name_key", F.col("id").alias("left_id"), F.col("preferred_name").alias("left_name"))
+    same = e.withColumnRenamed("id", "right_id").join(first, ["entity_type", "name_key"])
+    same = same.where("left_id < right_id and left_id <= coalesce(survivor_id, right_id)").select(
+        "left_id", "right_id", "entity_type", F.lit(True).alias("same_name"), (F.col("left_name") == F.col("preferred_name")).alias("identical")
+    )
+    everyone = sparse_vectors(e.select(F.col("preferred_name").alias("text"), "id", "entity_type"))
+    same = same.join(pair_scores(everyone, same.select("left_id", "right_id")).withColumnRenamed("score", "name_score"), ["left_id", "right_id"], "left")
+    pairs = near.unionByName(same)
     if rejected is not None:
         pairs = unrejected(pairs.withColumnsRenamed({"left_id": "left_entity_id", "right_id": "right_entity_id"}), rejected).withColumnsRenamed(
             {"left_entity_id": "left_id", "right_entity_id": "right_id"}
         )
+    pairs = materialise(pairs, "pairs")
     told = e.join(context, "id").select("id", "entity_type", F.col("context").alias("text"))
     contextual = pair_scores(sparse_vectors(told), pairs.select("left_id", "right_id")).withColumnRenamed("score", "context_score")
     scored = pairs.join(contextual, ["left_id", "right_id"], "left").select(
@@ -119,8 +156,8 @@ def scored_pairs(
         "entity_type",
         F.coalesce("name_score", F.lit(0.0)).alias("name_score"),
         F.coalesce("context_score", F.lit(0.0)).alias("context_score"),
-        F.coalesce("same_name", F.lit(False)).alias("same_name"),
-        F.coalesce("identical", F.lit(False)).alias("identical"),
+        "same_name",
+        "identical",
     )
     scored = scored.withColumn("total_score", total_score(F.col("name_score"), F.col("context_score"), F.col("same_name")))
     return scored.where(F.col("total_score") >= candidate).withColumn("action", similarity_class(F.col("total_score"), auto, candidate))
