@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.numbers import kappa_label
 from graphloom.runtime import materialise
@@ -95,24 +97,35 @@ def sample_places(n: int, size: int, seed: int) -> list[int]:
 
 
 def agreement_report(revisions: DataFrame, raters: int = 2, size: int = 50, seed: int = 42) -> DataFrame:
-    """(scope, items, observed, expected, kappa, label) of a document's revisions for entities, relations and both.
+    """([document_id,] scope, items, observed, expected, kappa, label) of each document's revisions for
+    entities, relations and both.
 
     Sentences with at least ``raters`` revisions are eligible, whatever their status; a seeded sample of
-    them in ordinal order is rated by its latest revisions. ``revisions`` has ordinal, sentence_id,
-    revision_number, entities and relations. Sizes are 1 to 1000, raters 2 to 100.
+    each document's own in ordinal order is rated by its latest revisions. ``revisions`` has ordinal,
+    sentence_id, revision_number, entities, relations and document_id; without a document_id they are one
+    document's. Sizes are 1 to 1000, raters 2 to 100.
     """
     if not 1 <= size <= 1000 or not 2 <= raters <= 100:
         raise ValueError("sample size is 1 to 1000, raters are 2 to 100")
-    chosen = materialise(latest_revisions(revisions, raters), "chosen")
-    eligible = chosen.select("ordinal", "sentence_id").distinct()
-    places = sample_places(eligible.count(), size, seed)
-    numbered = eligible.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("ordinal", "sentence_id")) - 1)  # one document
-    drawn = chosen.join(numbered.where(F.col("place").isin(places)).select("sentence_id"), "sentence_id", "left_semi")
-    drawn = materialise(drawn.select("sentence_id", "revision_number", "entities", "relations"), "drawn")
-    scopes = {"entity": votes_of(entity_ratings(drawn), drawn), "relation": votes_of(relation_ratings(drawn), drawn)}
+    by = ["document_id"] if "document_id" in revisions.columns else []
+    rev = revisions if by else revisions.withColumn("document_id", F.lit(""))
+    kept = ["document_id", "ordinal", "sentence_id", "revision_number", "entities", "relations"]
+    chosen = materialise(latest_revisions(rev, raters).select(*kept), "chosen")
+    eligible = chosen.groupBy("sentence_id").agg(F.min("ordinal").alias("ordinal"), F.min("document_id").alias("document_id"))
+    counts = eligible.groupBy("document_id").agg(F.count("*").alias("n"))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def places(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: sample_places(x, size, seed))
+
+    taken = counts.select("document_id", F.explode(places("n")).alias("place"))
+    numbered = eligible.withColumn("place", F.row_number().over(W.partitionBy("document_id").orderBy("ordinal", "sentence_id")).cast("bigint") - 1)
+    sample = numbered.join(taken, ["document_id", "place"]).select("sentence_id", "document_id")
+    scopes = {"entity": votes_of(entity_ratings(chosen), chosen), "relation": votes_of(relation_ratings(chosen), chosen)}
     rows = [v.withColumn("scope", F.lit(k)) for k, v in scopes.items()]
-    every = rows[0].unionByName(rows[1])
+    # a sentence's votes are its own, so the sample is taken from the votes, which are smaller than the revisions
+    every = materialise(rows[0].unionByName(rows[1]).join(sample, "sentence_id"), "votes")
     every = every.unionByName(every.withColumn("item", F.concat_ws(" ", "scope", "item")).withColumn("scope", F.lit("overall")))
-    votes = every.select("scope", F.concat_ws("/", "sentence_id", "item").alias("item"), "category", "votes")
-    out = fleiss(votes, ["scope"], raters)
+    votes = every.select(*by, "scope", F.concat_ws("/", "sentence_id", "item").alias("item"), "category", "votes")
+    out = fleiss(votes, [*by, "scope"], raters)
     return out.withColumn("label", kappa_label(F.col("kappa")))
