@@ -96,7 +96,7 @@ def clean_inline(text: str) -> str:
         kind = m.lastgroup
         inside = m.group(kind)
         kept.append(inside if kind == "literal" else _LABEL.sub("", inside))
-        return chr(0xE000) if len(kept) > 4000 else f"{chr(0xE000)}{len(kept) - 1}{chr(0xE001)}"
+        return f"{chr(0xE000)}{len(kept) - 1}{chr(0xE001)}"
 
     has = text.__contains__
     if has("<!--"):
