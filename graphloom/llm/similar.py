@@ -3,8 +3,10 @@
 The index is a set of leaves, each a centroid with a bounded expected number of vectors. Every vector
 lives in the leaf it is nearest to and visits the leaves that are almost as near. Inside a leaf the
 members are held as randomly rotated one-bit codes; inner products are estimated from the packed bits
-and two correction scalars, and the error bound of the estimate decides which members are reranked
-with real inner products. A leaf is one task's work: nothing is compared across all rows.
+and two correction scalars; a member is reranked with a real inner product where the error bound lets it
+reach both the least similarity and the k-th best already sure. The leaves' centroids come from a sample
+of bounded size; where one stands for more vectors than a leaf holds, its task fits leaves of a second
+level over them, and so on. Nothing is compared across all rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ K = 5
 LEAST = 0.80
 #: Rows the centroids are fitted on, at most about so many; every row is indexed all the same.
 SAMPLE = 32768
-#: Expected vectors of a leaf.
-LEAF = 2048
-#: A vector also visits leaves whose centroid is at most so many radians farther than the nearest.
-MARGIN = 0.13
-VISITS = 10
+#: Expected vectors of a leaf, and how many times as many a task searches without another level.
+LEAF, SLACK = 2048, 4
+#: A vector also visits all leaves whose centroid is at most so many radians farther than the nearest.
+MARGIN = 0.11
 #: Bits a query's coordinate is quantised to, and the width of the error bound in deviations.
 QUERY_BITS = 4
 BOUND = 2.2
@@ -54,7 +55,7 @@ def fit_leaves(sample: np.ndarray, total: int, leaf: int = LEAF, seed: int = SEE
         return np.zeros((1, DIM), dtype=np.float32)
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    most = max(4, int(leaf * len(unit) / max(total, 1)))
+    most = max(4, int(leaf * len(unit) / max(total, 1)))  # so at most a quarter as many centroids as samples
     parts, open_parts = [], [np.arange(len(unit))]
     while open_parts:
         part = open_parts.pop()
@@ -94,14 +95,31 @@ def _smallest(ids: np.ndarray, groups: np.ndarray, n_groups: int, k: int) -> lis
 _ROUTED = pa.schema([("leaf", pa.int32()), ("home", pa.bool_()), ("h", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
 
 
-def _route(centroids, k: int, margin: float, visits: int):
+def visits(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, whether at home) of unit vectors and the centroids they go to: the nearest and all within the margin."""
+    rows, leaves, homes = [], [], []
+    step = max(64, 4_000_000 // len(c))
+    for at in range(0, len(x), step):
+        near = x[at : at + step] @ c.T
+        first = near.argmax(1)
+        best = np.take_along_axis(near, first[:, None], 1)
+        least = np.cos(np.minimum(np.arccos(np.clip(best, -1, 1)) + margin, np.pi))
+        goes = near >= least
+        goes[np.arange(len(near)), first] = True
+        row, leaf = np.nonzero(goes)
+        rows.append(row + at)
+        leaves.append(leaf)
+        homes.append(leaf == first[row])
+    return np.concatenate(rows), np.concatenate(leaves), np.concatenate(homes)
+
+
+def _route(centroids, k: int, margin: float):
     """Rows of (vec_id, embedding, h) to their leaves; copies within a batch travel once, with k + 1 ids.
 
     A home row carries single precision, a visiting row half precision.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -110,21 +128,12 @@ def _route(centroids, k: int, margin: float, visits: int):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)[first].astype(np.float64)
             x = (x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)).astype(np.float32)
             id_lists = _smallest(ids, group, len(h), k + 1)
-            near = x @ c.T
-            width = min(visits, near.shape[1])
-            top = np.argpartition(-near, width - 1, axis=1)[:, :width]
-            near = np.take_along_axis(near, top, 1)
-            order = np.argsort(-near, axis=1, kind="stable")
-            top, near = np.take_along_axis(top, order, 1), np.arccos(np.clip(np.take_along_axis(near, order, 1), -1, 1))
-            goes = near <= near[:, :1] + margin
-            goes[:, 0] = True
-            row, nth = np.nonzero(goes)
-            home = nth == 0
+            row, leaf, home = visits(x, centroids.value, margin)
             full, half = x.tobytes(), x.astype(np.float16).tobytes()
             v = [full[r * DIM * 4 : (r + 1) * DIM * 4] if at_home else half[r * DIM * 2 : (r + 1) * DIM * 2] for r, at_home in zip(row.tolist(), home.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(top[row, nth].astype(np.int32)),
+                    pa.array(leaf.astype(np.int32)),
                     pa.array(home),
                     pa.array(h[row]),
                     pa.array([id_lists[r] for r in row.tolist()], pa.list_(pa.int64())),
@@ -185,18 +194,35 @@ class Leaf:
         code += (queries @ self.centroid)[:, None]
         return code, size.astype(np.float32)[:, None] * self.loose[None, :]
 
-    def at_least(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, member, inner product) where the bound allows ``least`` and the real product reaches it."""
+    def near(self, queries: np.ndarray, least: float, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, member, inner product) of pairs that reach ``least``, and how many products were taken.
+
+        A pair is reranked where the bound allows it to reach ``least`` and to be among the query's k
+        best: at least the k-th largest of the query's lower bounds, or the member's own ``floor``.
+        """
         code, bound = self.estimate(queries)
         code += bound
         q, m = np.nonzero(code >= least)
-        if len(q) * 20 > code.size:  # a dense neighbourhood: one product of all is cheaper than picking
-            exact = queries.astype(np.float64) @ self.members.T.astype(np.float64)
-            value = exact[q, m]
-        else:
-            value = np.einsum("ij,ij->i", queries[q].astype(np.float64), self.members[m].astype(np.float64))
+        high = code[q, m]
+        many = np.bincount(q, minlength=len(queries))
+        if (many > k).any():
+            low = high - 2 * bound[q, m]
+            sure = np.full(len(queries), -np.inf, dtype=np.float32)
+            best = _top(q, low, m, k)
+            full = np.flatnonzero(many >= k)
+            owner = q[best]
+            last = np.searchsorted(owner, full, side="right") - 1  # the k-th of each query
+            sure[full] = low[best[last]]
+            keep = high >= sure[q]
+            if floor is not None:
+                keep |= high >= floor[m]
+            q, m = q[keep], m[keep]
+        value = np.empty(len(q))
+        for at in range(0, len(q), 65536):
+            part = slice(at, at + 65536)
+            value[part] = np.einsum("ij,ij->i", queries[q[part]].astype(np.float64), self.members[m[part]].astype(np.float64))
         keep = value >= least - 1e-9
-        return q[keep], m[keep], value[keep]
+        return q[keep], m[keep], value[keep], len(q)
 
 
 def _top(owner: np.ndarray, value: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
@@ -212,13 +238,80 @@ _FOUND = pa.schema([("h", pa.int64()), ("other", pa.int64()), ("sim", pa.int32()
 _BLOCK = 256
 
 
-def _search(centroids, k: int, least: float):
+class Cell:
+    """All rows that came to one centroid: distinct vectors in hash order, whether at home, and their ids."""
+
+    def __init__(self, x: np.ndarray, at_home: np.ndarray, ids: list[np.ndarray], k: int, least: float, margin: float, turn: np.ndarray):
+        self.x, self.at_home, self.k, self.least, self.margin, self.turn = x, at_home, k, least, margin, turn
+        self.many = np.array([len(i) for i in ids], dtype=np.int64)
+        self.flat, self.start = np.concatenate(ids), np.concatenate([[0], np.cumsum(self.many)])
+        self.leaves = 0
+
+    def listed(self, owner: np.ndarray, near: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Near vectors as their ids, the k + 1 best of each owner."""
+        n = self.many[near]
+        place = np.repeat(self.start[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner, value, other = np.repeat(owner, n), np.repeat(value, n), self.flat[place]
+        best = _top(owner, value, other, self.k + 1)
+        return owner[best], value[best], other[best]
+
+    def found(self, centroid: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(owner, similarity, other id): the k + 1 best of every row within the cell."""
+        own = np.flatnonzero(self.at_home & (self.many > 1))
+        out = [self.listed(own, own, np.full(len(own), _ROUNDED, dtype=np.int64))]
+        out += self._searched(np.flatnonzero(self.at_home), np.flatnonzero(~self.at_home), centroid)
+        owner, value, other = (np.concatenate(c) for c in zip(*out))
+        best = _top(owner, value, other, self.k + 1)
+        return owner[best], value[best], other[best]
+
+    def _searched(self, members: np.ndarray, guests: np.ndarray, centroid: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        if not len(members):
+            return []
+        if len(members) > SLACK * LEAF:
+            step = -(-len(members) // SAMPLE)
+            c = fit_leaves(self.x[members[::step]], len(members), LEAF)
+            rows = np.concatenate([members, guests])
+            row, leaf, nearest_one = visits(self.x[rows], c, self.margin)
+            at_home = nearest_one & (row < len(members))
+            order = np.argsort(leaf, kind="stable")
+            row, leaf, at_home = row[order], leaf[order], at_home[order]
+            cuts = np.searchsorted(leaf, np.arange(len(c) + 1))
+            products = sum(int(at_home[a:b].sum()) * int(b - a) for a, b in zip(cuts[:-1], cuts[1:]))
+            if 2 * products < len(members) * len(rows):  # vectors of one direction can't be parted
+                out = []
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    part, own = rows[row[a:b]], at_home[a:b]
+                    out += self._searched(part[own], part[~own], c[i])
+                return out
+        self.leaves += 1
+        leaf, out = Leaf(self.x[members], centroid, self.turn), []
+        floor = np.full(len(members), self.least, dtype=np.float32)
+        for queries in (members, guests):
+            for a in range(0, len(queries), _BLOCK):
+                asked = queries[a : a + _BLOCK]
+                q, m, value, _ = leaf.near(self.x[asked], self.least, self.k + 1, floor if queries is guests else None)
+                value = np.rint(value * _ROUNDED).astype(np.int64)
+                apart = asked[q] != members[m]
+                q, m, value = asked[q[apart]], m[apart], value[apart]
+                out.append(self.listed(q, members[m], value))
+                if queries is guests:
+                    out.append(self.listed(members[m], q, value))
+                elif len(q):
+                    # what a member's own search made sure of bounds what guests may still bring it
+                    n = np.bincount(np.searchsorted(asked, q), minlength=len(asked))
+                    best = _top(q, value, m, self.k + 1)
+                    full = np.flatnonzero(n > self.k)
+                    last = np.searchsorted(q[best], asked[full], side="right") - 1
+                    floor[a + full] = value[best[last]] / _ROUNDED - 1e-5
+        return out
+
+
+def _search(centroids, k: int, least: float, margin: float):
     turn = rotation()
 
     def run(rows: pa.Table) -> pa.Table:
         home = rows.column("home").to_numpy()
-        h_all = rows.column("h").to_numpy()
-        h, group = np.unique(h_all, return_inverse=True)
+        h, group = np.unique(rows.column("h").to_numpy(), return_inverse=True)
         lists = rows.column("ids").combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
         ids = _smallest(lists.flatten().to_numpy(), np.repeat(group, lengths), len(h), k + 1)
@@ -228,38 +321,11 @@ def _search(centroids, k: int, least: float):
         for i, (g, own) in enumerate(zip(group.tolist(), home.tolist())):
             x[g] = np.frombuffer(v[i], dtype=np.float32 if own else np.float16)
             at_home[g] = own
-        member = np.flatnonzero(at_home)
-        if not len(member):
+        if not at_home.any():
             return _FOUND.empty_table()
-        leaf = Leaf(x[member], centroids.value[rows.column("leaf")[0].as_py()], turn)
-        many = np.array([len(i) for i in ids])
-        flat, start = np.concatenate(ids), np.concatenate([[0], np.cumsum(many)])
-
-        def listed(owner: np.ndarray, near: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
-            """Near vectors as their ids, the k + 1 best of each owner."""
-            n = many[near]
-            place = np.repeat(start[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            owner, value, other = np.repeat(owner, n), np.repeat(value, n), flat[place]
-            best = _top(owner, value, other, k + 1)
-            return owner[best], value[best], other[best]
-
-        found: list[tuple[np.ndarray, ...]] = []
-        own = np.flatnonzero(at_home & (many > 1))
-        found.append(listed(own, own, np.full(len(own), _ROUNDED, dtype=np.int64)))
-        for a in range(0, len(h), _BLOCK):
-            q, m, value = leaf.at_least(x[a : a + _BLOCK], least)
-            q, m = q + a, member[m]
-            value = np.rint(value * _ROUNDED).astype(np.int64)
-            apart = q != m
-            q, m, value = q[apart], m[apart], value[apart]
-            found.append(listed(q, m, value))
-            visitor = ~at_home[q]
-            found.append(listed(m[visitor], q[visitor], value[visitor]))
-        owner, value, other = (np.concatenate(c) for c in zip(*found))
-        best = _top(owner, value, other, k + 1)
-        return pa.table(
-            [pa.array(h[owner[best]]), pa.array(other[best]), pa.array(value[best].astype(np.int32))], schema=_FOUND
-        )
+        cell = Cell(x, at_home, ids, k, least, margin, turn)
+        owner, value, other = cell.found(centroids.value[rows.column("leaf")[0].as_py()])
+        return pa.table([pa.array(h[owner]), pa.array(other), pa.array(value.astype(np.int32))], schema=_FOUND)
 
     return run
 
@@ -277,15 +343,16 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, margin: float
     rows = usable(vectors)
     total = rows.count()
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(max(total, 1))) < SAMPLE)
-    sample = picked.dropDuplicates(["vec_id"]).select("embedding").toArrow().column(0)
-    sample = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample.chunks] or [np.zeros(0, np.float32)])
-    fitted = fit_leaves(sample.reshape(-1, DIM).astype(np.float32), total)
+    drawn = picked.groupBy("h").agg(F.min("embedding").alias("embedding")).toArrow()
+    sample = np.array(drawn.column("embedding").to_pylist(), dtype=np.float32).reshape(-1, DIM)
+    sample = sample[np.argsort(drawn.column("h").to_numpy())]  # whatever order the rows arrived in
+    fitted = fit_leaves(sample, total)
     centroids = spark.sparkContext.broadcast(fitted)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(fitted) // 2)  # a few leaves a task at any size
     routed = rows.mapInArrow(
-        _route(centroids, k, margin, VISITS), "leaf int, home boolean, h bigint, ids array<bigint>, v binary"
+        _route(centroids, k, margin), "leaf int, home boolean, h bigint, ids array<bigint>, v binary"
     )
-    found = routed.repartition(tasks, "leaf").groupBy("leaf").applyInArrow(_search(centroids, k, least), "h bigint, other bigint, sim int")
+    found = routed.repartition(tasks, "leaf").groupBy("leaf").applyInArrow(_search(centroids, k, least, margin), "h bigint, other bigint, sim int")
     lists = (
         found.repartition("h")
         .groupBy("h", "other")
