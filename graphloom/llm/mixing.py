@@ -1,9 +1,10 @@
 """Mixing sources to target weights (problem 7).
 
-Entropy balancing: document rates stay as near as they can, in token-weighted entropy, to one copy
-each while every source's tokens meet its share. The dual is convex, with one multiplier a source; its
-Newton steps sum gradient and curvature over a histogram of the documents. The tilted rates are then
-rounded into copies along each source's documents ordered by size.
+Entropy balancing: document rates stay as near to one copy each as they can, in entropy weighted by what
+a document is worth, while every source's tokens meet its share. The dual is convex, with one multiplier
+a source, and its solution tilts rates exponentially in a feature of the document. Newton steps sum
+gradient and curvature over a histogram of the documents; the tilted rates are then rounded into copies
+along each source's documents ordered by size.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,40 +24,60 @@ from graphloom.runtime import materialise, table
 RUN = 4096
 STEPS = 60
 TOLERANCE = 1e-10
+#: Tokens added to a document's own in its weight: leaving a text out, or repeating it, counts by its
+#: tokens and by being a text, so that short texts move less than long ones.
+HELD = 64
 MOST_SOURCES = 100_000
 
 
+def tilt_of(n_tokens: Column) -> Column:
+    """The feature of a document its rate is tilted by: its tokens over its weight, from 0 to nearly 1."""
+    return n_tokens / (n_tokens + F.lit(float(HELD)))
+
+
 def solve_dual(histogram: DataFrame, wanted: dict[str, float], caps: dict[str, float]) -> dict[str, float]:
-    """Multipliers l with sum(t * min(cap, exp(l))) = wanted, a source each, by damped Newton steps.
+    """Multipliers l with sum(t * min(cap, exp(l * tilt(t)))) = wanted, a source each, by guarded Newton steps.
 
-    ``histogram``: source, n_tokens, n. Each step is one aggregation over it; only the sums per source
-    come to the driver. A source is asked for at most cap times its tokens; where it is asked for all of
-    that, its rate is the cap itself.
+    ``histogram``: source, n_tokens, n. Minimising sum (t + HELD) * (w ln w - w) over the rates w under
+    the token constraints gives w = exp(l * t / (t + HELD)); the cap cuts it off. Each step is one
+    aggregation over the histogram; only two sums per source come to the driver, and every source steps
+    at once. A step that leaves the bracket of the root halves it. A source asked for all its cap allows
+    has the multiplier infinity.
     """
-    at = dict.fromkeys(wanted, 0.0)
     spark = histogram.sparkSession
+    at = {s: math.inf for s in wanted}
+    low, high = dict.fromkeys(wanted, -math.inf), dict.fromkeys(wanted, math.inf)
+    sums = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()
+    for r in sums:
+        if r.source in wanted and 0 < wanted[r.source] < caps[r.source] * r.t * (1 - 1e-12):
+            at[r.source] = math.log(wanted[r.source] / r.t)
+    pending = {s for s, x in at.items() if x < math.inf}
     for _ in range(STEPS):
-        rates = spark.createDataFrame(
-            [(s, float(x), float(caps[s])) for s, x in at.items()], "source string, l double, cap double"
-        )
-        tilted = histogram.join(F.broadcast(rates), "source").withColumn("rate", F.least(F.exp("l"), F.col("cap")))
-        mass = F.col("n") * F.col("n_tokens") * F.col("rate")
+        if not pending:
+            break
+        rates = spark.createDataFrame([(s, at[s], float(caps[s])) for s in sorted(pending)], "source string, l double, cap double")
+        tilted = histogram.join(F.broadcast(rates), "source").withColumn("x", F.col("l") * tilt_of(F.col("n_tokens")))
+        free = F.col("x") < F.log("cap")
+        mass = F.col("n") * F.col("n_tokens") * F.when(free, F.exp("x")).otherwise(F.col("cap"))
         sums = tilted.groupBy("source").agg(
-            F.sum(mass).alias("tokens"), F.sum(F.when(F.exp("l") < F.col("cap"), mass).otherwise(0.0)).alias("slope")
+            F.sum(mass).alias("tokens"), F.sum(F.when(free, mass * tilt_of(F.col("n_tokens"))).otherwise(0.0)).alias("slope")
         )
-        worst = 0.0
         for r in sums.collect():
-            gap = wanted[r.source] - r.tokens
-            if abs(gap) <= TOLERANCE * max(wanted[r.source], 1.0):
+            s, gap = r.source, wanted[r.source] - r.tokens
+            if abs(gap) <= TOLERANCE * max(wanted[s], 1.0):
+                pending.discard(s)
                 continue
-            if r.slope <= 0:  # at the cap: step back inside, or stay where the cap is what is asked for
-                step = -0.5 if gap < 0 else 0.0
+            if gap > 0:
+                low[s] = at[s]
             else:
-                step = max(-2.0, min(1.0, gap / r.slope))
-            at[r.source] = min(at[r.source] + step, math.log(caps[r.source]))
-            worst = max(worst, abs(step))
-        if worst == 0.0:
-            break
+                high[s] = at[s]
+            new = at[s] + gap / r.slope if r.slope > 0 else math.nan
+            if not low[s] < new < high[s]:
+                if math.isinf(low[s]) or math.isinf(high[s]):
+                    new = at[s] + math.copysign(max(1.0, abs(at[s])), gap)
+                else:
+                    new = (low[s] + high[s]) / 2
+            at[s] = new
     return at
 
 
@@ -73,8 +94,8 @@ def mixture(
     The total is the largest at which all shares can be met, or ``total_tokens``; a source that can't
     give its share of a given total gives all that its cap allows. Documents without a source, of a
     source without a target or with a share or cap of 0 get no copy, and a source without tokens gives
-    its share to the others in proportion. Null and empty texts have 0 tokens and go in at their source's
-    rate. Repeated rows are rounded each for itself. Of a repeated target the largest share counts.
+    its share to the others in proportion. Null and empty texts have 0 tokens, so no tilt, and go in
+    once. Repeated rows are rounded each for itself. Of a repeated target the largest share counts.
     """
     rows = targets.groupBy(F.col("source").cast("string").alias("source")).agg(
         F.max("target_share").cast("double").alias("share"), F.max("max_repeats").cast("int").alias("cap")
@@ -82,8 +103,9 @@ def mixture(
     goals = rows.where("source is not null and share > 0 and cap > 0").limit(MOST_SOURCES + 1).collect()
     if len(goals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    picked = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text")
-    measured = materialise(with_tokens(picked, ["doc_id", "source"], tokenizer=tokenizer), "tokens")
+    # numbered, so that rows alike in everything still part over the runs
+    picked = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text", F.monotonically_increasing_id().alias("row_no"))
+    measured = materialise(with_tokens(picked, ["doc_id", "source", "row_no"], tokenizer=tokenizer), "tokens")
     histogram = materialise(measured.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "sizes")
     totals = {
         r.source: (r.t, r.n)
@@ -101,12 +123,13 @@ def mixture(
     wanted = {s: min(shares[s] * total, caps[s] * available[s]) for s in shares}
     tilt = solve_dual(histogram, wanted, caps) if shares else {}
     spark = documents.sparkSession
-    rates = spark.createDataFrame(
-        [(s, min(math.exp(tilt[s]), float(caps[s])), caps[s], max(1, -(-totals[s][1] // RUN))) for s in shares],
-        "source string, rate double, cap int, runs int",
+    multipliers = spark.createDataFrame(
+        [(s, float(tilt[s]), caps[s], max(1, -(-totals[s][1] // RUN))) for s in shares], "source string, l double, cap int, runs int"
     )
-    rated = measured.join(F.broadcast(rates), "source", "left").withColumn("mix", F.xxhash64("doc_id", "n_tokens", F.lit(7)))
-    in_mix = rated.where("rate is not null").withColumn("run", F.pmod("mix", F.col("runs")))
+    # a multiplier of infinity asks every document for its cap, those without tokens, and without tilt, for one copy
+    rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.least(F.exp(F.col("l") * tilt_of(F.col("n_tokens"))), F.col("cap").cast("double")))
+    rated = measured.join(F.broadcast(multipliers), "source", "left").withColumn("rate", F.when(F.col("cap").isNotNull(), rate))
+    in_mix = rated.where("rate is not null").withColumn("mix", F.xxhash64("row_no", F.lit(7))).withColumn("run", F.pmod("mix", F.col("runs")))
     named = ["doc_id", "source", "n_tokens", "rate"]
     rounded = in_mix.select(*named, "cap", "run", "mix").groupBy("source", "run").applyInArrow(
         _round_run, "doc_id bigint, source string, n_tokens bigint, rate double, copies int"
@@ -115,17 +138,17 @@ def mixture(
     return rounded.unionByName(left_out)
 
 
-def round_rates(sizes: list[int], rate: float, cap: int, start: float) -> list[int]:
-    """Copies of documents in descending size, each floor or ceiling of ``rate``, tracking its tokens.
+def round_rates(sizes: list[int], rates: list[float], cap: int, start: float) -> list[int]:
+    """Copies of documents in descending size, each floor or ceiling of its rate, tracking the rates' tokens.
 
     What one document is given too much or too little is carried to the next, so the tokens of a run
-    miss the rate's by about the size of its last documents; ``start`` in [0, 1) shifts which are taken.
+    miss the rates' by about the size of its last documents; ``start`` in [0, 1) shifts which are taken.
     """
-    low = min(cap, math.floor(rate + 1e-9))
-    part = max(0.0, rate - low) if low < cap else 0.0
     carried = (start - 0.5) * (sizes[-1] if sizes else 0)
     turn, out = start, []
-    for size in sizes:
+    for size, rate in zip(sizes, rates):
+        low = min(cap, math.floor(rate + 1e-9))
+        part = max(0.0, rate - low) if low < cap else 0.0
         carried += size * part
         turn += part
         if size == 0:  # no tokens to track: every 1/part-th
@@ -138,10 +161,9 @@ def round_rates(sizes: list[int], rate: float, cap: int, start: float) -> list[i
 
 
 def _round_run(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("n_tokens", "descending"), ("mix", "ascending"), ("doc_id", "ascending")])
-    rate, cap = rows.column("rate")[0].as_py(), rows.column("cap")[0].as_py()
+    rows = rows.sort_by([("n_tokens", "descending"), ("mix", "ascending")])
     start = (zlib.crc32(f"{rows.column('source')[0]}-{rows.column('run')[0]}".encode()) % 1009) / 1009
-    copies = round_rates(rows.column("n_tokens").to_pylist(), rate, cap, start)
+    copies = round_rates(rows.column("n_tokens").to_pylist(), rows.column("rate").to_pylist(), rows.column("cap")[0].as_py(), start)
     return rows.select(["doc_id", "source", "n_tokens", "rate"]).append_column("copies", pa.array(copies, pa.int32()))
 
 
@@ -170,9 +192,19 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares the mixture reaches."""
-    return shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """The shares the mixture reaches, to three places, and whether any document is repeated too often."""
+    reached = shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where("target_share > 0")
+    return reached.select(
+        "source", "target_share", "max_repeats", "documents", (F.col("most_copies") > F.col("max_repeats")).alias("is_over"),
+        F.round("actual_share", 3).alias("actual_share"),
+    )
 
 
 QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+
+SQL = {
+    # sources without a document leave their share to the others; the total is chosen so that each can be met
+    "p7_shares": """with d as (select source, count(*) as n, count(*) filter (length(text) > 0) as held from documents group by 1),
+j as (select t.source, t.target_share, t.max_repeats, coalesce(d.n, 0) as documents, coalesce(d.held, 0) > 0 as held from mix_targets t left join d using (source) where t.target_share > 0)
+select source, target_share, max_repeats, documents, false as is_over, case when held then round(target_share / sum(target_share) filter (held) over (), 3) else 0.0 end as actual_share from j"""
+}
