@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from graphloom.llm import packing
 from graphloom.llm.packing import containers, fill, pack
 from graphloom.llm.tokens import count_tokens, encoder, TOKENIZER
 
@@ -54,3 +55,26 @@ def test_containers(spark):
     assert {x.container_kind for x in fill(out).collect()} == {"small", "large"}
     assert containers(df.limit(0), sizes).count() == 0
     assert containers(df, sizes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_items_beyond_the_bound_are_brought_back(seed):
+    r = np.random.default_rng(seed)
+    sizes = np.minimum(r.exponential(150, 900).astype(int) + 1, 512)
+    least = -(-sizes.sum() // 512)
+    first, used = packing._assign(sizes, 512, least)
+    assert used > least  # balanced assignment alone leaves some over
+    bins = pack(sizes, 512)
+    loads = np.bincount(bins, weights=sizes)
+    assert loads.max() <= 512 and len(loads) < used and len(loads) <= least + 1
+    assert np.array_equal(bins, pack(sizes, 512))
+
+
+def test_rows_alike_part_over_the_shards(spark):
+    df = spark.createDataFrame([(None, "no change was seen")] * 600, "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("k", 32)], "container_kind string, capacity_tokens int")
+    rows = containers(df, sizes, shard=60).collect()
+    shards = {}
+    for x in rows:
+        shards[x.container_id.split("-")[2]] = shards.get(x.container_id.split("-")[2], 0) + 1
+    assert len(shards) == 10 and max(shards.values()) < 120
