@@ -280,14 +280,26 @@ def segment(text: str, model: dict) -> list[tuple[int, int]]:
                     top, arg = s, i
             best[j + 1], back[j + 1] = top + closing[j], arg
     else:
+        # beyond the last length bucket only a span's balance counts: of the starts that far back the best
+        # of each depth and the best of all stand for the rest, so a text takes linear time
         table_of, at = np.array(lengths), np.array(starts)
         deep, score = np.array(depths), np.full(k + 1, -np.inf)
         score[0] = 0.0
+        far, of_depth, of_all = 0, {}, (-math.inf, 0)
         for j in range(k):
-            size = np.searchsorted(_LENGTHS, ends[j] - at[: j + 1], side="left")
-            s = score[: j + 1] + table_of[size] - UNBALANCED * (deep[: j + 1] != after[j])
-            back[j + 1] = int(s.argmax())
-            score[j + 1] = s[back[j + 1]] + closing[j]
+            while far < j and ends[j] - starts[far] > _LENGTHS[-1]:
+                one = (float(score[far]), -far)
+                of_depth[depths[far]] = max(of_depth.get(depths[far], (-math.inf, 0)), one)
+                of_all = max(of_all, one)
+                far += 1
+            size = np.searchsorted(_LENGTHS, ends[j] - at[far : j + 1], side="left")
+            s = score[far : j + 1] + table_of[size] - UNBALANCED * (deep[far : j + 1] != after[j])
+            arg = int(s.argmax())
+            top = (float(s[arg]), -(far + arg))
+            if far:
+                plain, same = of_all, of_depth.get(after[j], (-math.inf, 0))
+                top = max(top, (plain[0] + lengths[-1] - UNBALANCED, plain[1]), (same[0] + lengths[-1], same[1]))
+            score[j + 1], back[j + 1] = top[0] + closing[j], -top[1]
     out, j = [], k
     while j > 0:
         out.append((starts[back[j]], ends[j - 1]))
