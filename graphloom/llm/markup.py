@@ -1,7 +1,7 @@
 """Markup residue in text documents (problem 5).
 
 A section in HTML, Markdown, wiki or LaTeX markup, or a mixture of them, is cut into leaf blocks, each
-with the tags or marks it stands under. A linear-chain conditional random field over the leaves, fitted
+with the path of all tags and environments it stands under. A linear-chain conditional random field over the leaves, fitted
 on pages rendered from papers whose block kinds are known, tells headings, paragraphs, list items, code
 and formulas apart; the inline cleaner then leaves what a reader sees.
 """
@@ -9,6 +9,7 @@ and formulas apart; the inline cleaner then leaves what a reader sees.
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -45,7 +46,6 @@ _DISPLAY = re.compile(
     r"|^[ \t]*\\\[(?P<square>.+?)\\\][ \t]*$",
     re.S | re.M | re.I,
 )
-_LEAF = re.compile("[-]")  # places of cut-out code and formulas
 _BLOCK_TAG = re.compile(
     r"<(?P<close>/?)(?P<name>p|div|h[1-6]|li|ul|ol|dl|dt|dd|blockquote|html|body|title|table|thead|tbody|tr|td|th|section|article|header|footer|center|hr)(?=[\s/>])[^<>]*>",
     re.I,
@@ -78,6 +78,7 @@ _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 _EMPHASIS = re.compile(r"'{2,5}|(?<![\w*])\*{1,3}(?=\S)|(?<=\S)\*{1,3}(?![\w*])|(?<![\w_])_{1,3}(?=\S)|(?<=\S)_{1,3}(?![\w_])|`+")
 _SWITCH = re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NOINDEX|INDEX)__")
 _SPACE = re.compile(r"\s+")
+_BLANK = re.compile(r"\n[ \t]*\n")
 _HASH = re.compile(r"(#{1,6})([ \t]*)(?=\S)")
 _STAR = re.compile(r"([*]{1,4}|[-+])([ \t]*)(?=\S)")
 _NUMBER = re.compile(r"\d{1,4}[.)][ \t]+(?=\S)")
@@ -88,6 +89,48 @@ _LINK_DEF = re.compile(r"\[[^\]\n^]+\]:\s+\S+(?:\s+\"[^\"]*\")?\s*$")
 _CLOSED_STAR = re.compile(r"(\*{1,3})[^\s*](?:[^*\n]{0,80}?[^\s*])?\1(?!\*)")
 
 
+# Pairs of which an opening without its closing would be searched for to the end of the text, each time.
+_PAIRS = tuple(
+    (re.compile(o, re.I), re.compile(c, re.I))
+    for o, c in (
+        (r"<(?=pre\b)", r"</pre"), (r"<(?=syntaxhighlight\b)", r"</syntaxhighlight"), (r"<(?=source\b)", r"</source"), (r"<(?=script\b)", r"</script"),
+        (r"<(?=style\b)", r"</style"), (r"<(?=head\b)", r"</head"), (r"<(?=math\b)", r"</math"), (r"<(?=ref\b)", r"</ref"), (r"<(?=div\b)", r"</div"),
+        (r"\\(?=begin\{)", r"\\end\{"), (r"\\(?=\()", r"\\\)"), (r"\\(?=\[)", r"\\\]"), (r"<(?=nowiki>)", r"</nowiki"),
+    )
+)
+#: Shorter texts are searched as they are.
+_LONG = 4096
+
+
+def unused(text: str, n: int, first: int = 0xE000) -> list[str]:
+    """The first ``n`` characters of private use that are neither in the text nor named in it by a reference."""
+    probe = html.unescape(text) if "&" in text else text
+    free = (ch for ch in map(chr, itertools.chain(range(first, 0xF900), range(max(first, 0xF0000), 0x10FFFE))) if ch not in probe)
+    return list(itertools.islice(free, n))
+
+
+def paired(text: str, run) -> str:
+    """``run`` of a text; openings behind the last closing of their kind, which it can't match, are kept from it."""
+    if len(text) < _LONG:
+        return run(text)
+    hidden: list[tuple[str, str]] = []
+    for opening, closing in _PAIRS:
+        first = opening.search(text)
+        if not first:
+            continue
+        last = 0
+        for m in closing.finditer(text):
+            last = m.end()
+        if opening.search(text, last):
+            mark = unused(text, 1, 0x100000)[0]
+            hidden.append((mark, first.group()))
+            text = text[:last] + opening.sub(lambda _: mark, text[last:])
+    text = run(text)
+    for mark, plain in reversed(hidden):
+        text = text.replace(mark, plain)
+    return text
+
+
 def clean_inline(text: str) -> str:
     """What a reader sees of a leaf's text; formulas keep their TeX source without delimiters and labels."""
     kept: list[str] = []
@@ -96,15 +139,16 @@ def clean_inline(text: str) -> str:
         kind = m.lastgroup
         inside = m.group(kind)
         kept.append(inside if kind == "literal" else _LABEL.sub("", inside))
-        return f"{chr(0xE000)}{len(kept) - 1}{chr(0xE001)}"
+        return f"{left}{len(kept) - 1}{right}"
 
     has = text.__contains__
     if has("<!--"):
         text = re.sub(r"<!--.*?(?:-->|\Z)", "", text, flags=re.S)
     if has("$") or has("\\") or has("<"):
-        text = _MATH.sub(keep, text)
+        left, right = unused(text, 2)
+        text = paired(text, lambda x: _MATH.sub(keep, x))
     if has("<"):
-        text = _REF.sub("", text)
+        text = paired(text, lambda x: _REF.sub("", x))
     while has("{{"):
         shorter = _TEMPLATE.sub("", text)
         if shorter == text:
@@ -134,7 +178,7 @@ def clean_inline(text: str) -> str:
         text = _SWITCH.sub("", text)
         text = _EMPHASIS.sub("", text)
     if kept:
-        text = re.sub(f"{chr(0xE000)}(\\d+){chr(0xE001)}", lambda m: kept[int(m.group(1))], text)
+        text = re.sub(f"{left}(\\d+){right}", lambda m: kept[int(m.group(1))], text)
     return _SPACE.sub(" ", text).strip()
 
 
@@ -144,21 +188,51 @@ def content_key(text: str) -> str:
 
 
 class Leaf:
-    """A leaf block: the tag or mark it stands under, its raw text, and what its line looked like."""
+    """A leaf block: the tag or mark it stands under, its raw text, what its line looked like, and its ancestors' tags."""
+
+    __slots__ = ("tag", "text", "notes", "path")
+
+    def __init__(self, tag: str, text: str, notes: tuple[str, ...] = (), path: tuple[str, ...] = ()):
+        self.tag, self.text, self.notes, self.path = tag, text, notes, path
+
 
-    __slots__ = ("tag", "text", "notes")
+_LISTS = ("ul", "ol", "dl")
+_CELLS = ("td", "th")
+#: Tags that hold no text of their own.
+_FRAMES = ("html", "body", "ul", "ol", "dl", "table", "thead", "tbody", "tr", "hr")
+#: What an opening tag ends, where it is open inside the nearest of the tags named second.
+_ENDS = {
+    "li": (("li", "p"), _LISTS), "dt": (("dt", "dd", "p"), _LISTS), "dd": (("dt", "dd", "p"), _LISTS),
+    "tr": (("tr", "td", "th", "p"), ("table",)), "td": (("td", "th", "p"), ("tr",)), "th": (("td", "th", "p"), ("tr",)),
+}
+_P_ENDS = (("p", "h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dd", "td", "th", "blockquote", "div", "section", "article"))
 
-    def __init__(self, tag: str, text: str, notes: tuple[str, ...] = ()):
-        self.tag, self.text, self.notes = tag, text, notes
+
+def _opened(path: list[str], name: str) -> None:
+    """A block tag opens: it ends the tags it can't stand in, and joins the path."""
+    ended, within = _ENDS.get(name, _P_ENDS)
+    base = next((i for i in range(len(path) - 1, -1, -1) if path[i] in within), -1)
+    at = next((i for i in range(base + 1, len(path)) if path[i] in ended), None)
+    if at is not None:
+        del path[at:]
+    if name != "hr":
+        path.append(name)
+
+
+def _closed(path: list[str], name: str) -> None:
+    """A block tag closes, and with it what is open inside."""
+    if name in path:
+        del path[len(path) - 1 - path[::-1].index(name) :]
 
 
 def leaves(text: str) -> list[Leaf]:
     """The leaf blocks of a section, in order."""
     stock: list[Leaf] = []
+    mark = unused(text, 1)[0]
 
     def cut(leaf: Leaf) -> str:
         stock.append(leaf)
-        return f"\n\n{chr(0xF0000 + len(stock) - 1)}\n\n"
+        return f"\n\n{mark}{len(stock) - 1}{mark}\n\n"
 
     def code(m: re.Match) -> str:
         if m.group("comment") is not None:
@@ -181,52 +255,68 @@ def leaves(text: str) -> list[Leaf]:
         return cut(Leaf("display", html.unescape(_LABEL.sub("", inside)) if m.group("div") is not None else _LABEL.sub("", inside)))
 
     text = text.replace("\r\n", "\n")
-    text = _CODE.sub(code, text)
-    text = _DISPLAY.sub(formula, text)
+    text = paired(text, lambda x: _CODE.sub(code, x))
+    text = paired(text, lambda x: _DISPLAY.sub(formula, x))
     out: list[Leaf] = []
-    open_tag, at = "", 0
+    path: list[str] = []
+    at = 0
 
-    def flow(piece: str, tag: str) -> None:
+    def flow(piece: str) -> None:
         if not piece.strip():
             return
-        if tag:
-            # a blank line ends what an unclosed tag holds
-            head, blank, rest = re.match(r"(\s*.*?)(\n[ \t]*\n|\Z)(.*)\Z", piece, re.S).groups()
+        if path and path[-1] not in _FRAMES:
+            # a blank line ends what unclosed tags hold
+            blank = _BLANK.search(piece, len(piece) - len(piece.lstrip()))
+            head, rest = (piece[: blank.start()], piece[blank.end() :]) if blank else (piece, "")
+            if head.lstrip().startswith(mark):
+                head, rest = "", piece
             if head.strip():
-                out.append(Leaf(tag, head))
+                out.append(Leaf(path[-1], head, path=tuple(path)))
             if rest.strip():
-                _lines(rest, out, stock)
+                held = tuple(path)
+                if not all(_cut_out(line.strip(), mark) for line in rest.split("\n") if line.strip()):
+                    held = ()
+                    path.clear()
+                _lines(rest, out, stock, mark, held)
         else:
-            _lines(piece, out, stock)
+            _lines(piece, out, stock, mark, tuple(path))
 
     for m in _BLOCK_TAG.finditer(text):
-        flow(text[at : m.start()], open_tag)
+        flow(text[at : m.start()])
         at = m.end()
         name = m.group("name").lower()
-        if m.group("close") or name in ("html", "body", "ul", "ol", "dl", "table", "thead", "tbody", "tr", "hr"):
-            open_tag = ""
+        if m.group("close"):
+            _closed(path, name)
         else:
-            open_tag = name
-    flow(text[at:], open_tag)
+            _opened(path, name)
+    flow(text[at:])
     return out
 
 
-def _take(text: str, start: int) -> int:
-    """The end of a brace group that opens before ``start``."""
-    depth = 1
-    for i in range(start, len(text)):
-        ch = text[i]
-        if ch == "{" and text[i - 1] != "\\":
-            depth += 1
-        elif ch == "}" and text[i - 1] != "\\":
-            depth -= 1
-            if not depth:
-                return i
-    return len(text)
+def _cut_out(bare: str, mark: str) -> bool:
+    return len(bare) > 2 and bare[0] == mark == bare[-1]
 
 
-def _lines(piece: str, out: list[Leaf], stock: list[Leaf]) -> None:
-    """Leaf blocks of text outside block tags, by its lines."""
+def _group(lines: list[str], i: int, line: str, start: int) -> tuple[str, str, int]:
+    """What a brace group that opens before ``start`` of a line holds, what follows on its last line, and the next line's place."""
+    depth, held = 1, []
+    while True:
+        for k in range(start, len(line)):
+            ch = line[k]
+            if ch in "{}" and line[k - 1 : k] != "\\":
+                depth += 1 if ch == "{" else -1
+                if not depth:
+                    held.append(line[start:k])
+                    return "\n".join(held), line[k + 1 :], i
+        held.append(line[start:])
+        if i >= len(lines):
+            return "\n".join(held), "", i
+        line, start, i = lines[i], 0, i + 1
+
+
+def _lines(piece: str, out: list[Leaf], stock: list[Leaf], mark_of_cut: str, path: tuple[str, ...] = ()) -> None:
+    """Leaf blocks of text outside block tags, by its lines; TeX environments join the path."""
+    first = len(out)
     held: list[str] = []
     item: Leaf | None = None
     listing, blank = False, True
@@ -241,6 +331,13 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf]) -> None:
             held.clear()
         item = None
 
+    def settle() -> None:
+        """The leaves so far stand under the path so far."""
+        nonlocal first
+        for leaf in out[first:]:
+            leaf.path = path
+        first = len(out)
+
     lines = piece.split("\n")
     i = 0
     while i < len(lines):
@@ -251,9 +348,11 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf]) -> None:
             flush()
             blank = True
             continue
-        if 0xF0000 <= ord(bare[0]) < 0xF0000 + len(stock) and len(bare) == 1:
+        if _cut_out(bare, mark_of_cut):
             flush()
-            out.append(stock[ord(bare[0]) - 0xF0000])
+            leaf = stock[int(bare[1:-1])]
+            leaf.path = path
+            out.append(leaf)
             listing, blank = False, True
             continue
         if line.startswith(("    ", "\t")) and blank and not listing and not bare.startswith("\\item"):
@@ -266,20 +365,30 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf]) -> None:
             blank = True
             continue
         if bare.startswith("\\"):
-            if re.match(r"\\(?:begin|end)\{", bare):
+            frame = re.match(r"\\(begin|end)\{([^{}]*)\}(?:\[[^\]]*\])?", bare)
+            if frame or re.match(r"\\(?:begin|end)\{", bare):
                 flush()
-                rest = re.sub(r"^\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "", bare).strip()
                 listing, blank = False, True
+                if frame:
+                    settle()
+                    name, inner = frame.group(2), list(path)
+                    if frame.group(1) == "begin":
+                        inner.append(name)
+                    else:
+                        _closed(inner, name)
+                    path = tuple(inner)
+                rest = bare[frame.end() :].strip() if frame else ""
                 if rest:
-                    lines.insert(i, rest)
+                    i -= 1
+                    lines[i] = rest
                 continue
             head = _TEX_HEAD.match(bare)
             if head:
                 flush()
-                rest = "\n".join([bare, *lines[i:]])
-                end = _take(rest, head.end())
-                out.append(Leaf("section", rest[head.end() : end]))
-                lines, i = rest[end + 1 :].split("\n"), 0
+                title, rest, i = _group(lines, i, bare, head.end())
+                out.append(Leaf("section", title))
+                i -= 1
+                lines[i] = rest
                 listing, blank = False, True
                 continue
             if re.match(r"\\item\b", bare):
@@ -343,10 +452,11 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf]) -> None:
             held.append(bare)
         blank = False
     flush()
+    settle()
 
 
 def features(found: list[Leaf]) -> list[list[str]]:
-    """Feature names of each leaf: its tag path, its notes and what its text looks like."""
+    """Feature names of each leaf: the tags of its ancestors, its notes and what its text looks like."""
     out = []
     for leaf in found:
         text = leaf.text.strip()
@@ -356,6 +466,9 @@ def features(found: list[Leaf]) -> list[list[str]]:
         ends = "stop" if last in ".?!。！？" else "other"
         names = [f"tag={leaf.tag}", f"{leaf.tag}|{size}", f"size={size}", f"ends={ends}", f"{leaf.tag}|{ends}", f"upper={text[:1].isupper()}", f"lines={min(text.count(chr(10)), 2)}"]
         names += [f"{leaf.tag}|{n}" for n in leaf.notes]
+        above = leaf.path[:-1] if leaf.path and leaf.path[-1] == leaf.tag else leaf.path
+        names += [f"under={t}" for t in dict.fromkeys(above)] + [f"{leaf.tag}|under={t}" for t in dict.fromkeys(above)]
+        names.append(f"path={'>'.join(leaf.path[-3:])}|{leaf.tag}")
         if leaf.tag == "hash":
             names += [f"hash|{a}|{b}" for a in leaf.notes[:2] for b in leaf.notes[2:5]]
             names.append(f"hash|{leaf.notes[4]}|{text[:1].isupper()}")
@@ -367,8 +480,8 @@ def features(found: list[Leaf]) -> list[list[str]]:
 
 _SNIPPETS = ("for k in range(9):\n    s[k] += 2 ** k", "$ sort -n runs.txt\n$ wc -l", "SELECT a FROM t\nWHERE a <> 3", "x = load('a')\n# == end ==", "if (q > 1) {\n  w *= 0.1;\n}")
 _SHAPES = {
-    "html": {"heading": ["<h2>{t}</h2>", '<h1 id="a">{t}</h1>', "<H3>\n{t}\n</H3>"], "paragraph": ["<p>{t}</p>", '<p class="b">\n{t}\n</p>', "<div>{t}</div>"], "code": ["<pre>{t}</pre>", "<pre><code>{t}</code></pre>"], "formula": ['<div class="math">$${t}$$</div>']},
-    "plain": {"heading": ["# {t}", "## {t}", "### {t} ###", "{t}\n=======", "{t}\n-------"], "paragraph": ["{t}", "**{h}** {t}"], "code": ["```\n{t}\n```", "~~~\n{t}\n~~~"], "formula": ["$$\n{t}\n$$", "$${t}$$", "\\[{t}\\]"]},
+    "html": {"heading": ["<h2>{t}</h2>", '<h1 id="a">{t}</h1>', "<H3>\n{t}\n</H3>", "<blockquote><h2>{t}</h2></blockquote>", "<div><h3>{t}</h3></div>"], "paragraph": ["<p>{t}</p>", '<p class="b">\n{t}\n</p>', "<div>{t}</div>", "<blockquote><p>{t}</p></blockquote>", "<div><p>{t}</p></div>", "<table><tr><td>{t}</td></tr></table>", "<blockquote>{t}</blockquote>"], "code": ["<pre>{t}</pre>", "<pre><code>{t}</code></pre>"], "formula": ['<div class="math">$${t}$$</div>']},
+    "plain": {"heading": ["# {t}", "## {t}", "### {t} ###", "{t}\n=======", "{t}\n-------"], "paragraph": ["{t}", "**{h}** {t}"], "code": ["```\n{t}\n```", "~~~\n{t}\n~~~", "    {t}"], "formula": ["$$\n{t}\n$$", "$${t}$$", "\\[{t}\\]"]},
     "wiki": {"heading": ["== {t} ==", "==={t}==="], "paragraph": ["{t}", "''{h}'' {t} [[{h}]]"], "code": ["<pre>\n{t}\n</pre>", '<syntaxhighlight lang="text">\n{t}\n</syntaxhighlight>'], "formula": [":<math>{t}</math>", '<math display="block">{t}</math>']},
     "tex": {"heading": ["\\section{{{t}}}", "\\subsection*{{{t}}}\\label{{a}}"], "paragraph": ["{t}", "\\emph{{{h}}} {t}"], "code": ["\\begin{{verbatim}}\n{t}\n\\end{{verbatim}}", "\\begin{{lstlisting}}\n{t}\n\\end{{lstlisting}}"], "formula": ["\\begin{{equation}}\n{t}\n\\end{{equation}}", "\\[{t}\\]"]},
 }
@@ -377,6 +490,12 @@ _SHAPES = {
 def _render_list(r: random.Random, dialect: str, items: list[str]) -> str:
     if dialect == "html":
         close = r.choice(["</li>", ""])
+        frame = r.choice(["ul", "ol"])
+        if r.random() < 0.3:  # a loose list: each item holds a paragraph
+            return f"<{frame}>" + "\n".join(f"<li><p>{x}</p>{close}" for x in items) + f"</{frame}>"
+        if r.random() < 0.2:  # a list inside an item of another
+            inner = "".join(f"<li>{x}</li>" for x in items[1:])
+            return f"<{frame}><li>{items[0]}<ul>{inner}</ul></li></{frame}>"
         return "<ul>" + "\n".join(f"<li>{x}{close}" for x in items) + "</ul>"
     if dialect == "tex":
         return "\\begin{itemize}\n" + "\n".join(f"  \\item {x}" for x in items) + "\n\\end{itemize}"
@@ -409,6 +528,8 @@ def labelled_pages(blocks: list[tuple[str, str]], pages: int = PAGES, seed: int
                 continue
             text = {"heading": titles, "paragraph": prose, "formula": maths, "code": _SNIPPETS}[kind]
             shape, chosen = r.choice(_SHAPES[dialect][kind]), r.choice(text)
+            if shape.startswith("    "):
+                chosen = chosen.replace("\n", "\n    ")
             parts.append(shape.format(t=chosen, h=r.choice(titles)[:12]))
             kinds.append(kind)
         out.append(("\n\n".join(parts) if dialect != "html" or r.random() < 0.5 else "".join(parts), kinds))
