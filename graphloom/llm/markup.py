@@ -25,7 +25,7 @@ KINDS = ["heading", "paragraph", "list_item", "code", "formula"]
 KEY_LENGTH = 80
 #: Blocks of digital papers the training pages are rendered from, at most about so many.
 TRAINING_BLOCKS = 4000
-PAGES = 600
+PAGES = 900
 SEED = 13
 
 _CODE = re.compile(
@@ -399,17 +399,17 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf], mark_of_cut: str, pat
                 continue
         if bare.startswith("%") and (blank or not held) and not bare.startswith("%%PDF"):
             continue
+        if held and item is None and _UNDERLINE.match(bare):
+            out.append(Leaf("underlined", "\n".join(held)))
+            held.clear()
+            blank = True
+            continue
         head = _WIKI_HEAD.match(bare) if bare[0] == "=" else None
         if head:
             flush()
             out.append(Leaf("equals", head.group(2)))
             listing, blank = False, True
             continue
-        if held and item is None and _UNDERLINE.match(bare):
-            out.append(Leaf("underlined", "\n".join(held)))
-            held.clear()
-            blank = True
-            continue
         if _LINK_DEF.match(bare):
             flush()
             continue
@@ -442,7 +442,7 @@ def _lines(piece: str, out: list[Leaf], stock: list[Leaf], mark_of_cut: str, pat
             body = bare[mark.end() :]
             item = Leaf(kind, re.sub(r"\s#+$", "", body) if kind == "hash" else body, notes)
             out.append(item)
-            listing, blank = True, False
+            listing, blank = kind != "hash", False  # what is indented below a heading is code
             continue
         if item is not None:
             item.text += "\n" + bare
@@ -541,16 +541,21 @@ def fit(blocks: list[tuple[str, str]], pages: int = PAGES) -> Crf:
     examples = []
     for text, kinds in labelled_pages(blocks, pages):
         found = [x for x, _ in seen_leaves(text)]
-        if len(found) == len(kinds):
+        # code that a list before it has drawn in is no code to a reader
+        if len(found) == len(kinds) and all(x.tag in _RAW or k != "code" for x, k in zip(found, kinds)):
             examples.append((features(found), [KINDS.index(k) for k in kinds]))
     return Crf(KINDS).fit(examples)
 
 
+#: Leaves whose text stays as it is.
+_RAW = ("fence", "pre", "verbatim", "indented", "display")
+
+
 def seen_leaves(text: str) -> list[tuple[Leaf, str]]:
     """The leaves that hold a letter or digit, each with its clean text."""
     out = []
     for leaf in leaves(text):
-        raw = leaf.tag in ("fence", "pre", "verbatim", "indented", "display")
+        raw = leaf.tag in _RAW
         clean = leaf.text.strip("\n") if raw else clean_inline(leaf.text)
         if any(ch.isalnum() for ch in clean):
             out.append((leaf, clean))
