@@ -66,7 +66,7 @@ def is_formula(c: Column) -> Column:
     latex = s.rlike(r"(?U)\\(?:" + "|".join(LATEX_COMMANDS) + r")\b")
     label = s.rlike(r"(?U)\(\s*\d+[a-zA-Z]?\s*\)\s*$")
     low = F.lower(s)
-    cues = low.rlike(r"(?U)\b(?:" + "|".join(NARRATIVE_CUES) + r")\b") | low.rlike(r"\bw *h *e *r *e\b")
+    cues = low.rlike(r"(?U)\b(?:" + "|".join(NARRATIVE_CUES) + r")\b") | low.rlike(r"(?U)\bw +h +e +r +e\b")
     halves = F.split(s, f"[{RELATIONS}]", 2)
     operand = r"[A-Za-z0-9Ͱ-Ͽ]"
     sided = ~relation | (F.get(halves, 0).rlike(operand) & F.get(halves, 1).rlike(operand))
@@ -120,7 +120,7 @@ def evidence_text(role: Column, before: Column, current: Column, after: Column)
 
 def humanized(c: Column) -> Column:
     """HAS_PROPERTY as Has Property."""
-    return F.initcap(F.replace(F.lower(c), F.lit("_"), F.lit(" ")))
+    return F.array_join(F.transform(F.split(F.lower(c), "_"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), " ")
 
 
 def shortened(c: Column, most: int = 24, kept: int = 22) -> Column:
@@ -129,10 +129,10 @@ def shortened(c: Column, most: int = 24, kept: int = 22) -> Column:
 
 
 def color_slot(c: Column, slots: int = 8) -> Column:
-    """The palette slot of a type name: a 31-multiplier hash in 32 bits, modulo ``slots``."""
+    """The palette slot of a type name: the size of a 31-multiplier hash in signed 32 bits, modulo ``slots``."""
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
     h = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x).bitwiseAND(0xFFFFFFFF))
-    return F.pmod(h, F.lit(slots)).cast("int")
+    return (F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)) % slots).cast("int")
 
 
 def template(pattern: str, **values: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.names import aliases_of, resolution_key_of
 from graphloom.functions.numbers import AUTO_MERGE, CANDIDATE, CONTEXT_WEIGHT, NAME_WEIGHT, similarity_class, total_score
 from graphloom.operators.embed import DIMENSIONS, sparse_vectors
-from graphloom.runtime import materialise
+from graphloom.runtime import discard, materialise
 
 CONTEXT_SENTENCES = 5
 #: Vectors of one type that are multiplied with each other in one task, about.
@@ -175,23 +175,23 @@ def auto_merges(entities: DataFrame) -> DataFrame:
 
 
 def auto_merges_with_rejected(entities: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The same where some pairs were rejected: a greedy pass inside each group of equal names that holds one.
+    """The same where some pairs were rejected: a greedy pass in id order inside each group of equal names.
 
-    Groups without a rejected pair take the closed form; the others, whose size is bounded by the rejected
-    decisions in them, are walked in id order.
+    The first of a name takes all that weren't rejected with it. Only what was is left to go on with, so
+    what is walked grows with the rejections that name the first, not with the group.
     """
-    e = entities.where("active and preferred_name is not null and entity_type is not null and id is not null").select("id", "entity_type", "preferred_name")
+    e = entities.where("active and preferred_name is not null and entity_type is not null and id is not null")
+    e = e.select("id", "entity_type", "preferred_name", F.min("id").over(W.partitionBy("entity_type", "preferred_name")).alias("survivor_id")).where("id <> survivor_id").distinct()
     no = pair_keys(rejected)
-    named = no.join(e.withColumnRenamed("id", "a"), "a").join(
-        e.select(F.col("id").alias("b"), "entity_type", "preferred_name"), ["b", "entity_type", "preferred_name"]
-    )
-    touched = named.groupBy("entity_type", "preferred_name").agg(F.collect_set(F.concat_ws("\n", "a", "b")).alias("no"))
-    plain = auto_merges(entities.join(touched.select("entity_type", "preferred_name"), ["entity_type", "preferred_name"], "left_anti"))
-    hard = e.join(touched, ["entity_type", "preferred_name"])
+    first = no.select(F.col("a").alias("survivor_id"), F.col("b").alias("id"))
+    plain = e.join(first, ["survivor_id", "id"], "left_anti").select("id", "survivor_id")
+    left = e.join(first, ["survivor_id", "id"], "left_semi").select("id", "entity_type", "preferred_name")
+    ends = [left.select(F.col("id").alias(c), "entity_type", "preferred_name") for c in ("a", "b")]
+    among = no.join(ends[0], "a").join(ends[1], ["b", "entity_type", "preferred_name"])
 
-    def walk(rows: pa.Table) -> pa.Table:
+    def walk(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         ids = sorted(set(rows.column("id").to_pylist()))
-        banned = {tuple(x.split("\n")) for x in rows.column("no")[0].as_py()}
+        banned = set(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()))
         gone: dict[str, str] = {}
         for i, a in enumerate(ids):
             if a in gone:
@@ -201,7 +201,29 @@ def auto_merges_with_rejected(entities: DataFrame, rejected: DataFrame) -> DataF
                     gone[b] = a
         return pa.table({"id": pa.array(list(gone), pa.string()), "survivor_id": pa.array(list(gone.values()), pa.string())})
 
-    return plain.unionByName(hard.groupBy("entity_type", "preferred_name").applyInArrow(walk, "id string, survivor_id string"))
+    keys = ["entity_type", "preferred_name"]
+    among = among.select("a", "b", *[F.col(k).alias(f"_{k}") for k in keys])  # both sides of the cogroup come from one table
+    return plain.unionByName(left.groupBy(*keys).cogroup(among.groupBy(*[f"_{k}" for k in keys])).applyInArrow(walk, "id string, survivor_id string"))
+
+
+def final_survivors(merges: DataFrame) -> DataFrame:
+    """(id, survivor_id) of merges (id, survivor_id) followed to the end of their chains.
+
+    Every round doubles how far a chain is followed. Of several survivors of an id the first counts;
+    merges in a circle fail.
+    """
+    m = materialise(merges.where("id <> survivor_id").groupBy("id").agg(F.min("survivor_id").alias("survivor_id")), "merges")
+    for n in range(m.count().bit_length() + 1):
+        onward = m.select(F.col("id").alias("survivor_id"), F.col("survivor_id").alias("onward"))
+        far = materialise(m.join(onward, "survivor_id", "left").select("id", F.coalesce("onward", "survivor_id").alias("survivor_id"), F.col("onward").isNotNull().alias("moved")), f"merges{n}")
+        moved = not far.where("moved").isEmpty()
+        if moved and not far.where("id = survivor_id").isEmpty():
+            break
+        discard(m)
+        m = far.drop("moved")
+        if not moved:
+            return m
+    raise ValueError("merges run in a circle")
 
 
 def kept_candidates(pairs: DataFrame, merged: DataFrame) -> DataFrame:
@@ -216,33 +238,32 @@ def kept_candidates(pairs: DataFrame, merged: DataFrame) -> DataFrame:
 def merged_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """Entities after merges (id, survivor_id[, preferred_name]): aliases united, merged ones inactive.
 
-    A survivor's aliases gain the names and aliases of those folded into it, sorted by value and without
-    its own name; a given preferred name replaces its name.
+    A survivor's aliases gain the names and aliases of all folded into it, along chains of merges, and its
+    own names, old and new, sorted by value; a given preferred name replaces its name.
     """
-    m = merges.select("id", "survivor_id", *([c for c in ("preferred_name",) if c in merges.columns]))
-    named = "preferred_name" in merges.columns
+    m = final_survivors(merges)
     folded = (
-        m.select("id", "survivor_id").join(entities.select("id", "preferred_name", aliases_of(F.col("aliases_json")).alias("al")), "id")
+        m.join(entities.select("id", "preferred_name", aliases_of(F.col("aliases_json")).alias("al")), "id")
         .groupBy("survivor_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("al", F.array("preferred_name"))))).alias("more"))
     )
-    renamed = (m.where("preferred_name is not null").groupBy("survivor_id").agg(F.max("preferred_name").alias("new_name")) if named else None)
     out = entities.join(folded.withColumnRenamed("survivor_id", "id"), "id", "left")
-    out = out.join(renamed.withColumnRenamed("survivor_id", "id"), "id", "left") if named else out.withColumn("new_name", F.lit(None).cast("string"))
-    out = out.join(m.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
-    name = F.coalesce("new_name", "preferred_name")
-    united = F.array_sort(F.array_distinct(F.concat(aliases_of(F.col("aliases_json")), F.coalesce("more", F.array().cast("array<string>")), F.array("preferred_name"))))
-    aliases = F.filter(united, lambda x: x.isNotNull() & (x != F.col("_name")))
-    out = out.withColumn("_name", name)
+    if "preferred_name" in merges.columns:
+        renamed = merges.where("preferred_name is not null").groupBy(F.col("survivor_id").alias("id")).agg(F.max("preferred_name").alias("_new"))
+        out = out.join(renamed, "id", "left")
+    else:
+        out = out.withColumn("_new", F.lit(None).cast("string"))
+    out = out.join(m.select("id", F.lit(True).alias("_gone")), "id", "left").withColumn("_name", F.coalesce("_new", "preferred_name"))
+    united = F.array_sort(F.array_distinct(F.array_compact(F.concat(aliases_of(F.col("aliases_json")), "more", F.array("preferred_name", "_name")))))
     return out.select(
         "id", F.col("_name").alias("preferred_name"), "entity_type", "description",
-        F.when(F.col("more").isNotNull(), F.to_json(aliases)).otherwise(F.col("aliases_json")).alias("aliases_json"),
+        F.when(F.col("more").isNotNull(), F.to_json(united)).otherwise(F.col("aliases_json")).alias("aliases_json"),
         (F.col("active") & F.col("_gone").isNull()).alias("active"),
     )
 
 
 def repointed(mentions: DataFrame, merges: DataFrame) -> DataFrame:
-    """Mentions of merged entities pointing to the survivors."""
-    to = merges.select(F.col("id").alias("canonical_entity_id"), "survivor_id").distinct()
+    """Mentions of merged entities pointing to the survivors at the ends of their chains."""
+    to = final_survivors(merges).select(F.col("id").alias("canonical_entity_id"), "survivor_id")
     return mentions.join(to, "canonical_entity_id", "left").withColumn("canonical_entity_id", F.coalesce("survivor_id", "canonical_entity_id")).select(*mentions.columns)
 
 

@@ -67,7 +67,7 @@ def _formula(x: str) -> str:
     operand = "[A-Za-z0-9Ͱ-Ͽ]"
     words = _count(s, "[A-Za-z]{3,}|[一-鿿]{2,}")
     latex = rf"regexp_matches({s}, '\\(?:{'|'.join(X.LATEX_COMMANDS)})(?:[^\p{{L}}\p{{N}}_]|$)')"
-    cue = rf"regexp_matches(lower({s}), '(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(X.NARRATIVE_CUES)})(?:[^\p{{L}}\p{{N}}_]|$)') or regexp_matches(lower({s}), '\bw *h *e *r *e\b')"
+    cue = rf"regexp_matches(lower({s}), '(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(X.NARRATIVE_CUES)})(?:[^\p{{L}}\p{{N}}_]|$)') or regexp_matches(lower({s}), '(?:^|[^\p{{L}}\p{{N}}_])w +h +e +r +e(?:[^\p{{L}}\p{{N}}_]|$)')"
     marks, strong = _count(s, f"[{X.MATH_MARKS}]"), _count(s, f"[{X.STRONG_MATH_MARKS}]")
     label = rf"regexp_matches({s}, '\({_WS}*\p{{Nd}}+[a-zA-Z]?{_WS}*\){_WS}*$')"
     sides = rf"(not regexp_matches({s}, '{rel}') or (regexp_matches(regexp_extract({s}, '^([^=≤≥≈≃≡<>]*){rel}', 1), '{operand}') and regexp_matches(regexp_extract({s}, '^[^=≤≥≈≃≡<>]*{rel}([\s\S]*)$', 1), '{operand}')))"
@@ -78,6 +78,64 @@ def _formula(x: str) -> str:
 
 
 _ALIASES = """case when json_valid({0}) and json_type({0}) = 'ARRAY' then list_filter(from_json({0}, '["VARCHAR"]'), lambda x: x is not null) else []::varchar[] end"""
+
+
+def _clean(x: str) -> str:
+    return _strip(f"regexp_replace(replace(replace(regexp_replace(regexp_replace({x}, '(?is)<details>.*?</details>', '', 'g'), '(?is)<summary>.*?</summary>', '', 'g'), chr(65533), '-'), chr(160), ' '), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_METADATA = r"(?i)^\s*(?:received|revised|accepted|published)\s*:\s*|^\s*(?:https?://)?(?:dx\.)?doi\.org/|^\s*downloaded\s+via\b"
+_FRONT = r"(?i)^\s*(?:keywords?|cite\s+this|read\s+online|access|metrics\s*&\s*more|article\s+recommendations?|supporting\s+information)\b"
+_REFERENCES = r"(regexp_matches(text, '(?i)^\s*#{0,6}\s*(?:references|bibliography)(?:\s+and\s+notes?)?\s*:?\s*$') or (len(regexp_extract_all(text, '(?m)^\s*[*†‡§¶#]*\s*\[\d+\]\s+')) >= 3 and len(regexp_extract_all(text, '\n')) >= 2))"
+_STOP = "regexp_matches(text, '[.!?。！？]')"
+
+
+def _category(kind: str) -> str:
+    return (
+        rf"case when {kind} = 'title' or regexp_matches(text, '^\s*#') then 'heading' when {kind} = 'equation' then 'equation' "
+        r"when regexp_matches(text, '^\s*(?s:\$\$.+\$\$|\$[^$]{10,}\$)\s*$') then 'equation' when regexp_matches(text, '(?i)^\s*abstract\s*:?') then 'abstract' else 'main_text' end"
+    )
+
+
+#: A paper's parsed blocks after each gate, the last in ``gb``.
+_GATED = rf"""pb as (select document_id, block_no, page_number, bbox, case category when 'heading' then 'title' when 'equation' then 'equation' else 'text' end as kind, {_clean("text")} as text from structured_blocks where layer = 'digital'),
+g1 as (select *, max((kind = 'title')::int) over (partition by document_id order by block_no) as titled from pb where text <> '' and not regexp_matches(text, '{_METADATA}')),
+g2 as (select * from g1 where titled = 1 or not (contains(lower(text), 'doi.org') or regexp_matches(text, '(?i)\bjournal\b|(?:https?://|www\.|\b\w+\.\w+\.\w+/)') or (kind <> 'equation' and length(text) < 30 and not {_STOP}))),
+g3 as (select *, max({_REFERENCES}::int) over (partition by document_id order by block_no) as refs from g2 where not regexp_matches(text, '{_FRONT}')),
+g4 as (select *, {_category("kind")} as category, kind <> 'title' and titled = 1 and length(text) < 200 and not {_STOP} as weak from g3 where refs = 0),
+g5 as (select *, coalesce(max((category in ('abstract', 'main_text') and length(text) >= 100 and not weak)::int) over (partition by document_id order by block_no rows between unbounded preceding and 1 preceding), 0) as body from g4),
+gb as (select document_id, block_no, page_number, category, text, bbox from g5 where not weak or body = 1)"""
+
+
+def _merged_sql(source: str) -> str:
+    """Paragraph fragments of ``source`` joined, in ``mb``; needs WITH RECURSIVE."""
+    return rf"""fb as (select *, category in ('heading', 'equation') as alone,
+  regexp_matches(text, '(?:[.!?。！？；;]|[.!?][\])"'']|\$){_WS}*(?:\p{{Nd}}+(?:[,\-−–]\p{{Nd}}+)*)?{_WS}*$') as closes from {source}),
+fs as (select *, alone or coalesce(lag(alone or closes) over (partition by document_id order by block_no), true) as starts from fb),
+fi as (select *, sum(starts::int) over (partition by document_id order by block_no) as island from fs),
+fo as (select *, row_number() over (partition by document_id, island order by block_no) as nth, count(*) over (partition by document_id, island) as many from fi),
+fj as (select document_id, island, nth, many, block_no, page_number, category, bbox, text as joined from fo where nth = 1
+  union all
+  select o.document_id, o.island, o.nth, o.many, f.block_no, f.page_number, f.category, f.bbox, {_strip(rf"(case when regexp_matches(f.joined, '[A-Za-z]-{_WS}*$') then regexp_replace(f.joined, '-{_WS}*$', '') else f.joined || ' ' end) || o.text")}
+  from fj f join fo o on o.document_id = f.document_id and o.island = f.island and o.nth = f.nth + 1),
+mb as (select document_id, block_no, page_number, category, joined as text, bbox from fj where nth = many)"""
+
+
+
+
+def _attribute(x: str) -> str:
+    return f"""replace(replace(replace(({x})::varchar, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')"""
+
+
+def _element(tag: str, attributes: dict[str, str], values: dict[str, str]) -> str:
+    """The SQL of a GEXF element with its values."""
+    parts = "".join(f"""<attvalue for="{k}" value="' || {_attribute(v)} || '"/>""" for k, v in values.items())
+    named = "".join(f""" {k}="' || {_attribute(v)} || '\"""" for k, v in attributes.items())
+    return f"'<{tag}{named}><attvalues>{parts}</attvalues></{tag}>' || chr(10)"
+
+
+_GEXF_NODE = _element("node", {"id": "node_id", "label": "name"}, {k: k for k in ("entity_type", "aliases", "mention_count", "document_count")})
+_GEXF_EDGE = _element("edge", {"id": "edge_no", "source": "source_id", "target": "target_id", "label": "relation_type", "weight": "evidence_count"}, {k: k for k in ("relation_type", "evidence_count")})
 _EVIDENCE = "coalesce(nullif(case m.context_role when 'previous' then s.context_before when 'next' then s.context_after when 'current' then s.text end, ''), s.text)"
 _NODE = "coalesce(nullif(m.canonical_entity_id, ''), m.id)"
 _GRAPH_KEY = rf"regexp_replace(replace(lower(translate(nfkc_or_self, '（）', '()')), 'ß', 'ss'), '{_WS}|[_\-–—]', '', 'g')"
@@ -101,22 +159,27 @@ def formula_flags(spark, sf_dir):
     return s.select(F.col("id").alias("sentence_id"), X.is_equation_number(F.col("text")).alias("is_number"), f.alias("is_formula"), F.when(f, "formula").otherwise("sentence").alias("content_type"))
 
 
-@query(
-    f"""with l as (select block_id, unnest(x) as line, generate_subscripts(x, 1) as pos from (
+_LINE_RUNS = f"""with l as (select block_id, unnest(x) as line, generate_subscripts(x, 1) as pos from (
   select block_id, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda y: {_strip("regexp_replace(y, '[ " + chr(92) + "t]+', ' ', 'g')")}), lambda y: y <> '') as x
   from structured_blocks where layer = 'digital')),
 k as (select *, case when {_formula("line")} then 'f' when {_number("line")} then 'n' else 'p' end as kind from l),
 g as (select *, coalesce(last_value(case when kind <> 'n' then kind end ignore nulls) over (partition by block_id order by pos), 'p') as eff from k),
 b as (select *, case when lag(eff) over w is distinct from eff then 1 else 0 end as s from g window w as (partition by block_id order by pos)),
-i as (select *, sum(s) over (partition by block_id order by pos) as run from b)
-select block_id, (run - 1)::int as run_no, eff = 'f' as is_formula, string_agg(line, chr(10) order by pos) as run_text from i group by block_id, run, eff"""
-)
+i as (select *, sum(s) over (partition by block_id order by pos) as run from b)"""
+
+
+@query(f"""{_LINE_RUNS}
+select block_id, (run - 1)::int as run_no, eff = 'f' as is_formula, string_agg(line, chr(10) order by pos) as run_text from i group by block_id, run, eff""")
 def line_runs(spark, sf_dir):
     """WN9: runs of formula lines and of prose lines inside each digital block."""
     return units.line_runs(table(spark, sf_dir, "structured_blocks").where("layer = 'digital'").select("block_id", "text"))
 
 
-@query()
+@query(
+    f"""{_LINE_RUNS}, u as (select block_id, run, is_formula, unnest(x) as unit, generate_subscripts(x, 1) as pos from (
+  select block_id, run, eff = 'f' as is_formula, case when eff = 'f' then [string_agg(line, chr(10) order by pos)] else {_units("string_agg(line, chr(10) order by pos)")} end as x from i group by block_id, run, eff))
+select block_id, (row_number() over (partition by block_id order by run, pos) - 1)::int as ordinal, unit, is_formula from u"""
+)
 def block_units(spark, sf_dir):
     """FN6: formula runs and sentences of each digital block (tested against a sequential model)."""
     return units.block_units(table(spark, sf_dir, "structured_blocks").where("layer = 'digital'").select("block_id", "text"))
@@ -165,7 +228,7 @@ def references_cut(spark, sf_dir):
 def _parsed(spark, sf_dir):
     b = table(spark, sf_dir, "structured_blocks").where("layer = 'digital'")
     kind = F.when(F.col("category") == "heading", "title").when(F.col("category") == "equation", "equation").otherwise("text")
-    return b.select("document_id", "block_no", "page_number", kind.alias("block_type"), "text")
+    return b.select("document_id", "block_no", "page_number", kind.alias("block_type"), "text", "bbox")
 
 
 @query(
@@ -188,19 +251,32 @@ def paragraph_merge(spark, sf_dir):
     return blocks.merged(b)
 
 
-@query()
+@query(f"with {_GATED} select document_id, block_no, page_number, category, text from gb")
 def gated_blocks(spark, sf_dir):
     """FN12, FN17-FN19, WN7: blocks that belong to a paper's content (tested against a sequential model)."""
     return blocks.gated(_parsed(spark, sf_dir)).select("document_id", "block_no", "page_number", "category", "text")
 
 
-@query()
+@query(
+    rf"""with recursive {_GATED}, {_merged_sql("gb")},
+k1 as (select document_id, block_no, category, {_clean("text")} as text from mb),
+k2 as (select *, {_strip("regexp_replace(text, '^#+" + _WS + "*', '')")} as head from k1 where text <> ''),
+k3 as (select *, row_number() over (partition by document_id, category order by block_no) as nth from k2 where category <> 'heading' or head <> '')
+select document_id, {_strip(r"""string_agg(case category when 'heading' then case when nth = 1 then '# ' else '## ' end || head
+  when 'abstract' then case when nth = 1 then '## Abstract' || chr(10) || chr(10) else '' end || regexp_replace(text, '(?i)^\s*abstract\s*:?\s*', '') else text end, chr(10) || chr(10) order by block_no)""")} || chr(10) as markdown
+from k3 group by document_id"""
+)
 def clean_markdown(spark, sf_dir):
     """FN22, WN10, SNK6: every digital paper as clean Markdown."""
     return blocks.clean_document(blocks.merged(blocks.gated(_parsed(spark, sf_dir))))
 
 
-@query()
+@query(
+    rf"""with c as (select document_id, unnest(x) as text, generate_subscripts(x, 1) as pos from (select doc_id::varchar as document_id, list_filter(list_transform(regexp_split_to_array({_clean("text")}, '\n(?:[ \t]*\n)+'), lambda y: {_strip("y")}), lambda y: y <> '') as x from documents where text is not null)),
+k as (select *, max({_REFERENCES}::int) over (partition by document_id order by pos) as refs from c where not regexp_matches(text, '{_METADATA}') and not regexp_matches(text, '{_FRONT}')),
+t as (select *, case when starts_with(text, '#') then 'title' else 'paragraph' end as block_type from k where refs = 0 and not regexp_matches(text, '(?i)!\[[^\]]*\]\([^)]+\)|<table\b') and not regexp_matches(text, '(?i)^\s*(?:fig(?:ure)?\.?|table)\s*\d+\b'))
+select document_id, (pos - 1)::int as block_no, 1 as page_number, block_type, text, {_category("block_type")} as category from t"""
+)
 def markdown_blocks(spark, sf_dir):
     """FN21: blocks of whole Markdown texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
@@ -435,14 +511,31 @@ def article_graph_edges(spark, sf_dir):
     return graph.article_edges(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir), C.relations(spark, sf_dir))
 
 
-@query()
+@query(
+    with_sql(
+        "m",
+        """sp as (select *, row_number() over (partition by sentence_id order by a, b) as n from (select distinct sentence_id, start_offset as a, end_offset as b from m where coalesce(context_role, 'current') = 'current' and end_offset > start_offset and start_offset >= 0)),
+k as (select sentence_id, n, a, b, true as kept, b as last from sp where n = 1
+  union all
+  select sp.sentence_id, sp.n, sp.a, sp.b, sp.a >= k.last, case when sp.a >= k.last then sp.b else k.last end from k join sp on sp.sentence_id is not distinct from k.sentence_id and sp.n = k.n + 1)
+select sentence_id, a as "start", b as "end" from k where kept""",
+    ).replace("with ", "with recursive ", 1)
+)
 def highlighted_spans(spark, sf_dir):
     """WN14: non-overlapping spans to mark in each sentence (tested against a sequential model)."""
     h = annotate.highlighted(C.mentions(spark, sf_dir))
     return h.select("sentence_id", F.explode("spans").alias("s")).select("sentence_id", "s.start", "s.end")
 
 
-@query()
+@query(
+    with_sql(
+        "m r",
+        """t as (select distinct name from (select entity_type as name from m union all select relation_type from r) where name is not null),
+h as (select name, list_reduce(list_transform(string_split(name, ''), lambda x: unicode(x)::bigint), lambda a, x: (a * 31 + x) & 4294967295) as h from t)
+select name, array_to_string(list_transform(string_split(lower(name), '_'), lambda x: upper(x[1:1]) || x[2:]), ' ') as label,
+  (abs(case when h >= 2147483648 then h - 4294967296 else h end) % 8)::int as color, case when length(name) > 24 then substring(name, 1, 22) || '…' else name end as short from h""",
+    )
+)
 def type_labels(spark, sf_dir):
     """FN25, FN27, FN28: labels and colours of the types in use."""
     m, r = C.mentions(spark, sf_dir), C.relations(spark, sf_dir)
@@ -460,28 +553,44 @@ def triples_export(spark, sf_dir):
     return sinks.triples(C.sentences(spark, sf_dir), C.mentions(spark, sf_dir), C.relations(spark, sf_dir))
 
 
-@query()
+@query(
+    with_sql(
+        "s m r",
+        """a as (select sentence_id, list({'id': id, 'text': text, 'entity_type': entity_type, 'start': start_offset, 'end': end_offset, 'context_role': context_role, 'source': source, 'decision': decision, 'canonical_entity_id': canonical_entity_id} order by id) as entities from m group by 1),
+b as (select sentence_id, list({'id': id, 'source_mention_id': source_mention_id, 'target_mention_id': target_mention_id, 'relation_type': relation_type, 'source': source} order by id) as relations from r group by 1)
+select document_id, ordinal, to_json({'sentence_id': s.id, 'document_id': document_id, 'ordinal': ordinal, 'page_number': page_number, 'text': s.text, 'status': s.status, 'entities': coalesce(a.entities, []), 'relations': coalesce(b.relations, [])})::varchar as line
+from s left join a on a.sentence_id = s.id left join b on b.sentence_id = s.id""",
+    )
+)
 def sentence_jsonl(spark, sf_dir):
     """SNK1: sentences as JSON lines."""
     return sinks.sentence_lines(C.sentences(spark, sf_dir), C.mentions(spark, sf_dir), C.relations(spark, sf_dir))
 
 
-@query()
+@query(SQL["global_graph_nodes"].replace("select node_id, coalesce", ", gn as (select node_id, coalesce", 1) + f""")
+select node_id, {_GEXF_NODE} as xml from gn""")
 def gexf_nodes(spark, sf_dir):
     """SNK3: node elements of the exported graph."""
     return sinks.gexf_nodes(graph.global_nodes(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir), C.entities(spark, sf_dir)))
 
 
-@query()
+@query(with_sql("s m r", f"""{_EDGES}, k as (select *, row_number() over (order by source_id, relation_type, target_id) - 1 as edge_no from ed)
+select edge_no, {_GEXF_EDGE} as xml from k"""))
 def gexf_edges(spark, sf_dir):
     """SNK3: edge elements of the exported graph."""
     return sinks.gexf_edges(_edges(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""with recursive {_GATED}, {_merged_sql("gb")},
+x as (select document_id, to_json(list({{'page_number': page_number, 'category': category, 'content': text, 'bbox': bbox}} order by block_no))::varchar as label_structure from gb group by 1),
+y as (select document_id, to_json(list({{'page_number': page_number, 'category': category, 'content': text, 'bbox': bbox}} order by block_no))::varchar as label_structure_cleaned from mb group by 1)
+select document_id, label_structure, label_structure_cleaned from x left join y using (document_id)"""
+)
 def block_artifacts(spark, sf_dir):
-    """SNK5: the blocks of each digital paper as one JSON list."""
-    return sinks.block_artifacts(table(spark, sf_dir, "structured_blocks").where("layer = 'digital'"))
+    """SNK5: the gated blocks of each digital paper, before and after fragments are joined, as JSON lists."""
+    kept = blocks.gated(_parsed(spark, sf_dir))
+    return sinks.block_artifacts(kept, blocks.merged(kept))
 
 
 # Revisions and agreement ----------------------------------------------------------------------------
@@ -529,6 +638,7 @@ def next_revision(spark, sf_dir):
     return annotate.next_numbers(numbered).select(F.col("sentence_id").alias("user_id"), "next_number")
 
 
+_KAPPA = "case when kappa is null then '无法计算' when kappa < 0 then '低于随机一致' when kappa < 0.2 then '轻微一致' when kappa < 0.4 then '一般一致' when kappa < 0.6 then '中等一致' when kappa < 0.8 then '较强一致' else '高度一致' end"
 _RATED = """t as (select id as sentence_id, ordinal, document_id from s where status in ('approved', 'uncertain')),
 i as (select m.sentence_id, t.document_id, t.ordinal, g.r, concat_ws('|', coalesce(m.context_role, 'current'), m.start_offset, m.end_offset, m.text) as item, m.id,
   m.entity_type || case when (t.ordinal + g.r) % 5 = 0 then '2' else '' end as category from m join t using (sentence_id), (select unnest([1, 2, 3]) as r) g),
@@ -549,7 +659,26 @@ def fleiss_revisions(spark, sf_dir):
     return agreement.fleiss(votes.withColumn("item", F.concat_ws("/", "sentence_id", "item")), ["document_id"], 3)
 
 
-@query()
+@query(
+    with_sql(
+        "s m r",
+        f"""places(n, place) as (values {", ".join(f"({n}, {p})" for n in range(51, 161) for p in agreement.sample_places(n, 50, 42))}),
+t as (select distinct id as sentence_id, document_id, ordinal, status from s where status in ('approved', 'uncertain', 'skipped')),
+el as (select *, row_number() over (partition by document_id order by ordinal, sentence_id) - 1 as place, count(*) over (partition by document_id) as n from t),
+sa as (select * from el where n <= 50 or (n, place) in (select n, place from places)),
+e as (select sa.document_id, sa.sentence_id, sa.ordinal, m.id, concat_ws('|', coalesce(m.context_role, 'current'), m.start_offset, m.end_offset, m.text) as item, m.entity_type from m join sa using (sentence_id) where sa.status <> 'skipped'),
+x as (select document_id, 'entity' as scope, sentence_id || '/' || item as item, g.r, arg_max(entity_type || case when (ordinal + g.r) % 5 = 0 then '2' else '' end, id) as category from e, (select unnest([2, 3]) as r) g group by 1, 2, 3, 4
+  union all
+  select a.document_id, 'relation', a.sentence_id || '/' || a.item || ' -> ' || b.item, g.r, arg_max(r.relation_type, (r.source_mention_id, r.target_mention_id, r.relation_type, r.source))
+  from r join e a on a.id = r.source_mention_id and a.sentence_id = r.sentence_id join e b on b.id = r.target_mention_id and b.sentence_id = r.sentence_id, (select unnest([2, 3]) as r) g group by 1, 2, 3, 4),
+y as (select * from x union all select document_id, 'overall', scope || ' ' || item, r, category from x),
+v as (select document_id, scope, item, category, count(*) as votes from y group by 1, 2, 3, 4),
+po as (select document_id, scope, count(*) as items, avg(p) as po from (select document_id, scope, item, (sum(votes * votes) - 2) / 2.0 as p from v group by 1, 2, 3) group by 1, 2),
+pe as (select document_id, scope, sum(c * c)::double / (sum(c) * sum(c))::double as pe from (select document_id, scope, category, sum(votes) as c from v group by 1, 2, 3) group by 1, 2),
+z as (select document_id, scope, items, round(po, 6) as observed, round(pe, 6) as expected, case when abs(1 - pe) >= 1e-12 then round((po - pe) / (1 - pe), 6) end as kappa from po join pe using (document_id, scope))
+select *, {_KAPPA} as label from z""",
+    )
+)
 def agreement_report(spark, sf_dir):
     """AG12, SMP1, SET2, SRT4: the sampled agreement of each paper, for entities, relations and both."""
     return agreement.agreement_report(revisions(spark, sf_dir), raters=2)
@@ -640,15 +769,29 @@ def _merges(spark, sf_dir):
     return c.groupBy(F.greatest("left_entity_id", "right_entity_id").alias("id")).agg(F.min(F.least("left_entity_id", "right_entity_id")).alias("survivor_id"))
 
 
-@query(with_sql("m c", """g as (select greatest(left_entity_id, right_entity_id) as id, min(least(left_entity_id, right_entity_id)) as survivor_id from c where status = 'merged' and left_entity_id is not null and right_entity_id is not null and left_entity_id <> right_entity_id group by 1)
-select coalesce(g.survivor_id, m.canonical_entity_id) as canonical_entity_id, count(*) as mentions from m left join g on g.id = m.canonical_entity_id group by 1"""))
+@query(with_sql("m c", """g as (select greatest(left_entity_id, right_entity_id) as id, min(least(left_entity_id, right_entity_id)) as survivor_id from c where status = 'merged' and left_entity_id is not null and right_entity_id is not null and left_entity_id <> right_entity_id group by 1),
+w as (select id, survivor_id from g union all select w.id, g.survivor_id from w join g on g.id = w.survivor_id),
+f as (select id, survivor_id from w where survivor_id not in (select id from g))
+select coalesce(f.survivor_id, m.canonical_entity_id) as canonical_entity_id, count(*) as mentions from m left join f on f.id = m.canonical_entity_id group by 1""").replace("with ", "with recursive ", 1))
 def repointed_mentions(spark, sf_dir):
     """DML5: mentions per entity once merged entities point to their survivors."""
     m = resolve.repointed(C.mentions(spark, sf_dir), _merges(spark, sf_dir))
     return m.groupBy("canonical_entity_id").agg(F.count("*").alias("mentions"))
 
 
-@query()
+@query(
+    with_sql(
+        "c",
+        f"""g as (select greatest(left_entity_id, right_entity_id) as id, min(least(left_entity_id, right_entity_id)) as survivor_id from c where status = 'merged' and left_entity_id is not null and right_entity_id is not null and left_entity_id <> right_entity_id group by 1),
+w as (select id, survivor_id from g union all select w.id, g.survivor_id from w join g on g.id = w.survivor_id),
+f as (select id, survivor_id from w where survivor_id not in (select id from g)),
+al as (select f.survivor_id as id, list_concat({_ALIASES.format("e.aliases_json")}, [e.preferred_name]) as names from f join canonical_entities e on e.id = f.id
+  union all select id, list_concat({_ALIASES.format("aliases_json")}, [preferred_name]) from canonical_entities where id in (select f.survivor_id from f join canonical_entities e on e.id = f.id)),
+u as (select id, to_json(list_sort(list_distinct(flatten(list(names)))))::varchar as names from al group by 1)
+select e.id, e.preferred_name, e.entity_type, e.description, coalesce(u.names, e.aliases_json) as aliases_json, e.active and e.id not in (select id from f) as active
+from canonical_entities e left join u on u.id = e.id""",
+    ).replace("with ", "with recursive ", 1)
+)
 def merged_entities(spark, sf_dir):
     """DML5, SET3: entities after the recorded merges."""
     return resolve.merged_entities(table(spark, sf_dir, "canonical_entities"), _merges(spark, sf_dir))
@@ -735,7 +878,16 @@ def supply_graph_edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("relation_type"), F.col("l_partkey").alias("target_id")).agg(F.count("*").alias("evidence_count"), F.countDistinct("l_orderkey").alias("document_count"))
 
 
-@query()
+@query(
+    rf"""with recursive {_GATED}, {_merged_sql("gb")},
+n1 as (select document_id, block_no, page_number, unnest(x) as text, generate_subscripts(x, 1) as pos from (select document_id, block_no, page_number, case when category = 'equation' then [text] else {_units("text")} end as x from mb where category <> 'heading')),
+n2 as (select document_id, page_number, text, (row_number() over (partition by document_id order by page_number, block_no, pos) - 1)::int as ordinal, {_formula("text")} as is_formula from n1),
+n3 as (select *, case when not is_formula then text end as prose from n2)
+select document_id || '-' || ordinal as id, document_id, ordinal, page_number, text,
+  case when is_formula then last_value(prose ignore nulls) over (partition by document_id order by ordinal rows between unbounded preceding and 1 preceding) else lag(text) over (partition by document_id order by ordinal) end as context_before,
+  case when is_formula then first_value(prose ignore nulls) over (partition by document_id order by ordinal rows between 1 following and unbounded following) else lead(text) over (partition by document_id order by ordinal) end as context_after, is_formula
+from n3"""
+)
 def ingested_sentences(spark, sf_dir):
     """SRC3, SRC7: sentences made anew from the blocks of digital papers (tested on parser output)."""
     return ingest.ingested(_parsed(spark, sf_dir)).select("id", "document_id", "ordinal", "page_number", "text", "context_before", "context_after", "is_formula")

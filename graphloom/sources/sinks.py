@@ -19,7 +19,7 @@ def sentence_lines(sentences: DataFrame, mentions: DataFrame, relations: DataFra
         "sentence_id", "document_id", "ordinal", "page_number", "text", "status",
         F.coalesce("entities", F.array()).alias("entities"), F.coalesce("relations", F.array()).alias("relations"),
     )
-    return rows.select("document_id", "ordinal", F.to_json(body).alias("line"))
+    return rows.select("document_id", "ordinal", F.to_json(body, {"ignoreNullFields": "false"}).alias("line"))
 
 
 def write_jsonl(lines: DataFrame, path: str) -> None:
@@ -99,7 +99,13 @@ def gexf_document(nodes: DataFrame, edges: DataFrame, most: int = 200_000) -> st
     return head + "".join(r.xml for r in n) + middle + "".join(r.xml for r in e) + tail
 
 
-def block_artifacts(blocks: DataFrame) -> DataFrame:
-    """(document_id, structure): the blocks of a paper as one JSON list."""
-    b = F.struct(F.col("block_no"), "page_number", "category", "text", "bbox")
-    return blocks.groupBy("document_id").agg(F.to_json(F.array_sort(F.collect_list(b))).alias("structure"))
+def block_artifacts(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """(document_id, label_structure, label_structure_cleaned): a paper's gated blocks, and the merged ones, as JSON lists."""
+    item = F.struct("page_number", "category", F.col("text").alias("content"), "bbox")
+    out = None
+    for blocks, name in ((raw, "label_structure"), (cleaned, "label_structure_cleaned")):
+        ordered = F.array_sort(F.collect_list(F.struct("block_no", item.alias("item"))))
+        text = F.to_json(F.transform(ordered, lambda x: x["item"]), {"ignoreNullFields": "false"})
+        one = blocks.groupBy("document_id").agg(text.alias(name))
+        out = one if out is None else out.join(one, "document_id", "left")
+    return out

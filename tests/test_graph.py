@@ -218,7 +218,7 @@ def test_merge_scores_and_decisions(spark):
     after, merges = resolve.decide(c, d, e)
     assert {x.id: x.status for x in after.collect()} == {"c1": "merged", "c2": "superseded", "c3": "deferred", "c4": "pending"}
     merged = {x.id: x for x in resolve.merged_entities(e, merges).collect()}
-    assert merged["e1"].preferred_name == "zinc-oxide" and json.loads(merged["e1"].aliases_json) == ["Zinc oxide", "ZnO"] and not merged["e2"].active
+    assert merged["e1"].preferred_name == "zinc-oxide" and json.loads(merged["e1"].aliases_json) == ["Zinc oxide", "ZnO", "zinc-oxide"] and not merged["e2"].active
     m = spark.createDataFrame([("m", "s", "x", "T", 0, 1, "current", "m", "a", "e2")], MENTION)
     assert resolve.repointed(m, merges).first().canonical_entity_id == "e1"
     for bad in (("c1", "merge", "wrong"), ("c1", "what", None), ("c4", "merge", "x")):
@@ -227,6 +227,35 @@ def test_merge_scores_and_decisions(spark):
     assert [x.id for x in resolve.queue(c, e).collect()] == ["c1", "c2", "c3"]
 
 
+def test_chains_of_merges_end_at_their_last_survivor(spark):
+    e = spark.createDataFrame([("a", "A", "T", None, '["x"]', True), ("b", "B", "T", None, None, True), ("c", "C", "T", None, '["y"]', True), ("d", "D", "T", None, "[]", True)], ENTITY)
+    merges = spark.createDataFrame([("b", "a", None), ("c", "b", "C"), ("d", "c", None)], "id string, survivor_id string, preferred_name string")
+    assert {tuple(x) for x in resolve.final_survivors(merges).collect()} == {("b", "a"), ("c", "a"), ("d", "a")}
+    got = {x.id: x for x in resolve.merged_entities(e, merges).collect()}
+    assert json.loads(got["a"].aliases_json) == ["A", "B", "C", "D", "x", "y"] and [k for k, x in got.items() if x.active] == ["a"]
+    m = spark.createDataFrame([("m", "s", "x", "T", 0, 1, "current", "m", "a", "d")], MENTION)
+    assert resolve.repointed(m, merges).first().canonical_entity_id == "a"
+    assert resolve.final_survivors(merges.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        resolve.final_survivors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id string, survivor_id string"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_with_rejections_equal_the_greedy_loop(spark, seed):
+    r = random.Random(seed)
+    names = {f"e{i:02}": r.choice(["zinc", "oxide"]) for i in range(24)}
+    ids = sorted(names)
+    no = {tuple(sorted(r.sample(ids, 2))) for _ in range(60)}
+    gone: dict = {}
+    for a in ids:
+        for b in ids:
+            if a < b and a not in gone and b not in gone and names[a] == names[b] and (a, b) not in no:
+                gone[b] = a
+    e = spark.createDataFrame([(i, n, "T", None, None, True) for i, n in names.items()], ENTITY)
+    rejected = spark.createDataFrame([(b, a) for a, b in no], "left_entity_id string, right_entity_id string")
+    assert {tuple(x) for x in resolve.auto_merges_with_rejected(e, rejected).collect()} == set(gone.items())
+
+
 def test_delete(spark, data):
     s, m, r, e = data
     papers = spark.createDataFrame([("d1",), ("d2",)], "id string")

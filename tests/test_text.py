@@ -48,13 +48,16 @@ def test_small_functions(spark):
     assert one(spark, "done).", X.ends_sentence) is True and one(spark, "open", X.ends_sentence) is False
     assert one(spark, "a\x0bb\x0b\x0bc", X.chunks_by_blank_line) == ["a\nb", "c"]
 
-    def color(s):
+    def color(name):
         h = 0
-        for ch in s:
-            h = (h * 31 + ord(ch)) & 0xFFFFFFFF
-        return h % 8
-
-    assert one(spark, "Material", X.color_slot) == color("Material")
+        for ch in name:
+            h = (h * 31 + ord(ch) + (1 << 31)) % (1 << 32) - (1 << 31)  # signed 32 bits
+        return abs(h) % 8
+
+    for name in ("Material", "Instrument", "Mechanism", "Structure", "x"):
+        assert one(spark, name, X.color_slot) == color(name)
+    assert one(spark, "HAS_some thing_X", X.humanized) == "Has Some thing X"
+    assert one(spark, "a = b w here c", X.is_formula) is True and one(spark, "a = b w h e r e c", X.is_formula) is False
 
 
 def test_names():
