@@ -52,6 +52,12 @@ def flat_gated(blocks: DataFrame, by: str = "document_id", order: tuple[str, ...
     return rows.withColumn("category", X.block_category(kind, text))
 
 
+def before_references(files: DataFrame, by: str = "document_id", text: str = "text") -> DataFrame:
+    """(by, block_no, text): the paragraphs of a text up to its list of references."""
+    rows = files.where(F.col(text).isNotNull()).select(by, F.posexplode(X.chunks_by_blank_line(F.col(text))).alias("block_no", "text"))
+    return rows.withColumn("_refs", _seen(X.is_references(F.col("text")), by, ("block_no",))).where(~F.col("_refs")).drop("_refs")
+
+
 def markdown_blocks(files: DataFrame, by: str = "document_id", text: str = "text") -> DataFrame:
     """(by, block_no, page_number, block_type, text, category) of a whole Markdown text, cut at blank lines."""
     parts = files.select(by, F.posexplode(X.chunks_by_blank_line(X.clean_markdown(F.col(text)))).alias("block_no", "text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names, numbers
 from graphloom.functions import text as X
-from graphloom.operators import agreement, annotate, blocks, embed, graph, ingest, maintain, resolve, suggest, units
+from graphloom.operators import agreement, annotate, blocks, embed, graph, ingest, maintain, resolve, spans, suggest, units
 from graphloom.operators import current as C
 from graphloom.operators.current import REVIEWED, with_sql
 from graphloom.runtime import table
@@ -219,10 +219,7 @@ select doc_id, (pos - 1)::int as block_no, chunk as text from g where seen = 0""
 )
 def references_cut(spark, sf_dir):
     """FN10, FN11, WN6: paragraphs up to a document's list of references."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    rows = d.select("doc_id", F.posexplode(X.chunks_by_blank_line(F.col("text"))).alias("block_no", "text"))
-    seen = F.max(X.is_references(F.col("text"))).over(W.partitionBy("doc_id").orderBy("block_no"))
-    return rows.withColumn("seen", seen).where("not seen").drop("seen")
+    return blocks.before_references(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _parsed(spark, sf_dir):
@@ -294,6 +291,33 @@ def block_categories(spark, sf_dir):
     return b.select("block_id", X.block_category(F.lit("text"), F.col("text")).alias("category"))
 
 
+def placed_tokens(spark, sf_dir):
+    """The tokens of every digital equation as spans of a page of its own, a wide gap behind every ninth."""
+    b = table(spark, sf_dir, "structured_blocks").where("layer = 'digital' and category = 'equation'")
+    t = b.select("document_id", F.col("block_no").alias("page_number"), F.posexplode(F.split(F.replace("text", F.lit("$"), F.lit("")), " ")).alias("span_no", "text"))
+    x = 40.0 + 14 * F.col("span_no") + 30 * F.floor(F.col("span_no") / 9)
+    font = F.when(F.col("text").rlike("^[A-Za-z]$"), "Times-Italic").otherwise("Times")
+    return t.select("*", F.lit(4000.0).alias("page_width"), font.alias("font"), F.lit(10.0).alias("size"), x.alias("x0"), F.lit(100.0).alias("y0"), (x + 10).alias("x1"), F.lit(108.0).alias("y1"))
+
+
+@query(
+    rf"""with t as (select document_id, block_no as page_number, unnest(x) as text, generate_subscripts(x, 1) - 1 as span_no from (select document_id, block_no, string_split(replace(text, '$', ''), ' ') as x from structured_blocks where layer = 'digital' and category = 'equation')),
+p as (select *, 40.0 + 14 * span_no + 30 * (span_no // 9) as x0, lower({_strip("text")}) not in ('as', 'in', 'of', 'to', 'is', 'at', 'on', 'by', 'or', 'where', 'depends') and
+  (regexp_matches(text, '^[A-Za-z]$') or {_strip("text")} in ('', 'ln', 'log', 'exp', 'sin', 'cos', 'tan', 'd') or regexp_full_match({_strip("text")}, '[A-Za-z]{{1,2}}|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[(),.\[\]{{}}+−–=*/×÷^_<>≤≥≈≃≡±]+')) as math from t where text <> '' and 40.0 + 14 * span_no + 30 * (span_no // 9) < 4000),
+b as (select p.*, s.span_no as seed_no from p join p s on s.document_id = p.document_id and s.page_number = p.page_number and regexp_matches(s.text, '[=≤≥≈≃≡]') and (p.x0 < 2000) = (s.x0 < 2000)),
+g as (select *, coalesce(x0 - lag(x0 + 10) over w < 18, true) as lft, coalesce(lead(x0) over w - x0 - 10 < 18, true) as rgt from b window w as (partition by document_id, page_number, seed_no order by x0)),
+k as (select *, case when span_no = seed_no then 0 when span_no > seed_no then (not (math and lft))::int else (not (math and rgt))::int end as breaks from g),
+r as (select *, case when span_no >= seed_no then sum(case when span_no >= seed_no then breaks else 0 end) over (partition by document_id, page_number, seed_no order by x0)
+  else sum(case when span_no < seed_no then breaks else 0 end) over (partition by document_id, page_number, seed_no order by x0 rows between current row and unbounded following) end as reach from k),
+j as (select document_id, page_number, seed_no, string_agg(text, '' order by x0) as joined, min(x0)::double as x0, max(x0 + 10)::double as x1 from r where reach = 0 group by 1, 2, 3),
+f as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(joined, '(?is)(,?{_WS}+where\b|,?{_WS}+as{_WS}+).*$', ''), '{_WS}+', '', 'g'), '([=≤≥≈≃≡<>])', ' \1 ', 'g'), ' +', ' ', 'g'), ' ,') as formula from j)
+select document_id, page_number, seed_no::int as seed_no, formula, x0, x1 from f where {_formula("formula")} qualify row_number() over (partition by document_id, page_number, formula order by seed_no) = 1"""
+)
+def page_formulas(spark, sf_dir):
+    """WN11-WN13, FN7, FN8, FN39: formulas rebuilt from placed spans."""
+    return spans.page_formulas(placed_tokens(spark, sf_dir)).select("document_id", "page_number", "seed_no", "formula", "x0", "x1")
+
+
 # Listings and statistics ----------------------------------------------------------------------------
 
 
@@ -624,11 +648,12 @@ def backfill_revisions(spark, sf_dir):
     return b.select("sentence_id", "revision_number", "status", F.size("entities").cast("bigint").alias("entities"), F.size("relations").cast("bigint").alias("relations"))
 
 
-@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 2")
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n, count(*) over (partition by user_id) as saves from events) where n <= 2 and saves >= 2")
 def latest_two(spark, sf_dir):
-    """WN4: the last two events of each user."""
-    at = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("n", at).where("n <= 2").select("user_id", "event_id", "event_type")
+    """WN4: the last two events of each user that has so many, events standing for saves."""
+    at = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    saves = table(spark, sf_dir, "events").select(F.col("user_id").alias("sentence_id"), at.alias("revision_number"), "event_id", "event_type")
+    return agreement.latest_revisions(saves, 2).select(F.col("sentence_id").alias("user_id"), "event_id", "event_type")
 
 
 @query("select user_id, count(*) + 1 as next_number from events group by 1")

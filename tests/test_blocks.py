@@ -104,13 +104,46 @@ def test_markdown_source(spark):
     assert [(r.category, r.text) for r in rows] == [("heading", "# Title"), ("main_text", "Some body text.")]
 
 
+SPAN = "document_id string, page_number int, page_width double, block_no int, line_no int, span_no int, text string, font string, size double, x0 double, y0 double, x1 double, y1 double"
+
+
+def page(*words):
+    """Spans of one page from (text, x, y[, font, size, width, line])."""
+    out = []
+    for n, (text, x, y, *rest) in enumerate(words):
+        font, size, w, line = (*rest, *("Roman", 10.0, 5.0, 0)[len(rest):])
+        out.append(("d", 1, 600.0, 0, line, n, text, font, float(size), float(x), float(y), float(x + w), float(y + 8)))
+    return out
+
+
 def test_formula_spans(spark):
-    row = lambda t, x, y, font="Roman", size=10.0, w=5.0: ("d", 1, 600.0, t, font, size, float(x), float(y), float(x + w), float(y + 8))
-    data = [row("energy", 10, 100, w=40), row("E", 60, 100, "Italic"), row("=", 68, 100), row("1", 76, 97, w=4), row("2", 76, 105, w=4), row("k", 84, 100, "Italic"), row("where", 92, 100), row("far", 400, 100, w=20)]
-    df = spark.createDataFrame(data, "document_id string, page_number int, page_width double, text string, font string, size double, x0 double, y0 double, x1 double, y1 double")
+    data = page(("energy", 10, 100, "Roman", 10, 40), ("E", 60, 100, "Italic"), ("=", 68, 100), ("1", 76, 97, "Roman", 10, 4), ("2", 76, 105, "Roman", 10, 4), ("k", 84, 100, "Italic"), ("where", 92, 100), ("far", 400, 100, "Roman", 10, 20))
+    df = spark.createDataFrame(data, SPAN)
     out = spans.page_formulas(df).collect()
     assert [(r.formula, r.x0, r.x1) for r in out] == [("E = (1/2)k", 60.0, 89.0)]
     assert spans.page_formulas(df.limit(0)).count() == 0
+    # three numbers below each other make one fraction; a gap, prose and the other half end a formula; equal ones count once
+    data = page(("x", 10, 50, "STIX"), ("≥", 18, 50), ("1", 26, 46), ("2", 26, 54), ("3", 26, 57), ("y", 60, 50, "Italic"), ("a", 310, 50, "Italic"), ("=", 318, 50), ("b", 326, 50, "Italic"), ("a", 310, 90, "Italic"), ("=", 318, 90), ("b", 326, 90, "Italic"), (None, 1, 1), ("=", 900, 50))
+    got = [(r.formula, r.seed_no) for r in spans.page_formulas(spark.createDataFrame(data, SPAN)).orderBy("seed_no").collect()]
+    assert got == [("x ≥ (1/2)3", 1), ("a = b", 7)]
+
+
+def test_page_units(spark):
+    data = page(("The film grew. It held.", 10, 20, "Roman", 10, 200, 0), ("E", 60, 100, "Italic", 10, 5, 1), ("=", 68, 100, "Roman", 10, 5, 2), ("k", 84, 100, "Italic", 10, 5, 3))
+    rows = spans.page_units(spark.createDataFrame(data, SPAN)).orderBy("ordinal").collect()
+    assert [(r.unit, r.x0) for r in rows] == [("The film grew.", None), ("It held.", None), ("E = k", None)]  # a unit already
+    data = page(("p = q + 1", 10, 20, "Italic", 10, 60, 0), ("−", 10, 40, "Roman", 10, 5, 1))
+    rows = spans.page_units(spark.createDataFrame(data, SPAN)).orderBy("ordinal").collect()
+    assert [(r.unit, r.x0, r.x1) for r in rows] == [("p = q + 1", None, None), ("p = q+1", 10.0, 70.0)]  # the bare sign is gone
+    assert spans.page_units(spark.createDataFrame([], SPAN)).count() == 0
+
+
+def test_rescaled_boxes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([100.0, 200.0, 500.0, 1000.0],), ([1.0],), (None,)], "b array<double>")
+    out = [r[0] for r in df.select(spans.rescaled(F.col("b"), F.lit(600.0), F.lit(800.0))).collect()]
+    assert out[0] == [55.0, 155.0, 305.0, 800.0] and out[1:] == [None, None]
 
 
 def test_sources(spark, tmp_path):
