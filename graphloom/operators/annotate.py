@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.current import REVIEWED, latest
+from graphloom.runtime import materialise
 
 ENTITY = "struct<client_id:string,text:string,entity_type:string,start:int,end:int,context_role:string,source:string,decision:string>"
 RELATION = "struct<source_client_id:string,target_client_id:string,relation_type:string,source:string>"
@@ -35,6 +36,60 @@ def revisions_of(events: DataFrame, existing: DataFrame | None = None) -> DataFr
     )
 
 
+def save_annotations(tables: dict[str, DataFrame], saves: DataFrame) -> dict[str, DataFrame]:
+    """All tables after saves (sentence_id, saved_at, status, entities, relations).
+
+    Every save is a revision; the last of a sentence becomes its state. Its earlier mentions and relations
+    go, each entity becomes a mention with a canonical entity of its own, and canonical entities that only
+    the earlier mentions pointed to go. A paper without an unreviewed sentence is completed. A skip saves
+    nothing. Where a text isn't found at its place, or a relation names an entity that isn't saved, the
+    jobs that read the result fail, so nothing of the batch is kept.
+    """
+    s, m, r, e = (tables[k] for k in ("sentences", "mentions", "relations", "entities"))
+    fresh = revisions_of(saves, tables.get("revisions"))
+    last = current_annotations(fresh)
+    touched = last.select("sentence_id")
+    base = F.concat_ws("-", "sentence_id", "revision_number")
+    role = F.coalesce("e.context_role", F.lit("current"))
+    told = s.select(F.col("id").alias("sentence_id"), F.col("text").alias("_now"), "context_before", "context_after").dropDuplicates(["sentence_id"])
+    source = F.coalesce(F.when(role == "previous", F.col("context_before")).when(role == "next", F.col("context_after")).when(role == "current", F.col("_now")), F.lit(""))
+    piece = F.when((F.col("e.start") >= 0) & (F.col("e.end") > F.col("e.start")), F.substring(source, F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).otherwise("")
+    text = F.when(piece == F.col("e.text"), F.col("e.text")).otherwise(F.raise_error(F.concat(F.lit("a text isn't at its place: "), F.coalesce("e.text", F.lit("")))))
+    marked = last.join(told, "sentence_id").select("sentence_id", base.alias("base"), "context_before", "context_after", "_now", F.explode("entities").alias("e"))
+    mention_id = F.concat_ws("-", "base", "e.client_id")
+    named = marked.select(
+        mention_id.alias("id"), "sentence_id", text.alias("text"), "e.entity_type", F.col("e.start").alias("start_offset"), F.col("e.end").alias("end_offset"),
+        role.alias("context_role"), "e.source", "e.decision", F.concat(F.lit("c-"), mention_id).alias("canonical_entity_id"), F.col("e.client_id").alias("client_id"),
+    )
+    named = materialise(named, "saved")  # the checks are made here, before anything is replaced
+    ends = named.select("sentence_id", "client_id", "id")
+    links = last.select("sentence_id", base.alias("base"), F.posexplode("relations").alias("at", "r"))
+    for side in ("source", "target"):
+        one = ends.select("sentence_id", F.col("client_id").alias(f"_{side}"), F.col("id").alias(f"{side}_mention_id"))
+        links = links.withColumn(f"_{side}", F.col(f"r.{side}_client_id")).join(one, ["sentence_id", f"_{side}"], "left")
+    both = F.col("source_mention_id").isNotNull() & F.col("target_mention_id").isNotNull()
+    linked = links.select(
+        F.when(both, F.concat_ws("-", "base", F.concat(F.lit("r"), "at"))).otherwise(F.raise_error(F.lit("a relation names an entity that isn't saved"))).alias("id"),
+        "sentence_id", "source_mention_id", "target_mention_id", "r.relation_type", "r.source",
+    )
+    linked = materialise(linked, "linked")
+    out = dict(tables)
+    left = m.join(touched, "sentence_id", "left_anti").select(*m.columns)
+    out["mentions"] = left.unionByName(named.drop("client_id"), allowMissingColumns=True)
+    out["relations"] = r.join(touched, "sentence_id", "left_anti").select(*r.columns).unionByName(linked, allowMissingColumns=True)
+    before = m.join(touched, "sentence_id", "left_semi").where("canonical_entity_id is not null").select(F.col("canonical_entity_id").alias("id")).distinct()
+    stale = before.join(left.select(F.col("canonical_entity_id").alias("id")), "id", "left_anti")
+    own = named.select(F.col("canonical_entity_id").alias("id"), F.col("text").alias("preferred_name"), "entity_type", F.lit(None).cast("string").alias("description"), F.to_json(F.array("text")).alias("aliases_json"), F.lit(True).alias("active"))
+    out["entities"] = e.join(stale, "id", "left_anti").unionByName(own, allowMissingColumns=True)
+    status = last.select(F.col("sentence_id").alias("id"), F.col("status").alias("_saved"))
+    out["sentences"] = s.join(status, "id", "left").withColumn("status", F.coalesce("_saved", "status")).select(*s.columns)
+    asked = out["sentences"].join(touched.withColumnRenamed("sentence_id", "id"), "id", "left_semi").select("document_id").distinct()
+    done = completed_documents(out["sentences"].join(asked, "document_id", "left_semi")).where("is_completed").select(F.col("document_id").alias("id"), F.lit("completed").alias("_done"))
+    out["papers"] = tables["papers"].join(done, "id", "left").withColumn("status", F.coalesce("_done", "status")).select(*tables["papers"].columns)
+    out["revisions"] = fresh if tables.get("revisions") is None else tables["revisions"].unionByName(fresh, allowMissingColumns=True)
+    return out
+
+
 def current_annotations(revisions: DataFrame) -> DataFrame:
     """The latest revision of each sentence."""
     return latest(revisions, "sentence_id", "revision_number")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import aliases_of, resolution_key_of
-from graphloom.functions.numbers import AUTO_MERGE, CANDIDATE, CONTEXT_WEIGHT, NAME_WEIGHT, similarity_class, total_score
+from graphloom.functions.numbers import AUTO_MERGE, CANDIDATE, CONTEXT_WEIGHT, NAME_WEIGHT, dot, similarity_class, total_score
 from graphloom.operators.embed import DIMENSIONS, sparse_vectors
 from graphloom.runtime import discard, materialise
 
@@ -103,6 +103,53 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return sent.groupBy("entity_type", "lo", "hi").applyInArrow(multiply, "left_id string, right_id string, entity_type string, score double")
 
 
+def dense_pairs(vectors: DataFrame, by: str, least: float) -> DataFrame:
+    """(left_id, right_id, score) of vectors (id, by, embedding) of one group with a cosine of at least ``least``, exact.
+
+    Vectors are sorted into blocks by their place on the line between two far points; where the bound of
+    the triangle says that no pair of two blocks can reach ``least``, they are never brought together, the
+    others are multiplied whole. Vectors that are null, hold a null or have no length pair with nothing.
+    """
+    ok = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
+    rows = ok.select("id", F.col(by).alias("g"), F.transform(e, lambda x: x / norm).alias("u")).where("g is not null")
+    pole = rows.groupBy("g").agg(F.min_by("u", "id").alias("pole"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = materialise(rows.join(pole, "g").withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("u"), F.col("pole")))))).select("g", "id", "u", "angle", "blocks"), "vectors")
+    cuts = rows.groupBy("g").agg(F.percentile_approx("angle", F.array(*[F.lit(k / 256) for k in range(1, 256)]), 10000).alias("cuts"))
+    level = F.size(F.filter("cuts", lambda c: c < F.col("angle")))
+    parts = F.greatest(F.ceil(F.col("blocks") / 256), F.lit(1))  # of one range of angles
+    block = F.floor(level * F.least(F.col("blocks"), F.lit(256)) / 256) * parts + F.pmod(F.xxhash64("id"), parts)
+    placed = rows.join(cuts, "g").withColumn("block", block).select("g", "id", "u", "angle", "block")
+    ranges = placed.groupBy("g", "block").agg(F.min("angle").alias("near"), F.max("angle").alias("far"))
+    a, b = ranges.select("g", F.col("block").alias("lo"), F.col("near").alias("n1"), F.col("far").alias("f1")), ranges.select("g", F.col("block").alias("hi"), F.col("near").alias("n2"), F.col("far").alias("f2"))
+    reach = float(np.arccos(max(-1.0, min(1.0, least)))) + 1e-9
+    pairs = a.join(b, "g").where("lo <= hi").where((F.col("n2") - F.col("f1") <= reach) & (F.col("n1") - F.col("f2") <= reach)).select("g", "lo", "hi")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    sent = placed.drop("angle").join(sides, ["g", "block"])
+
+    def multiply(t: pa.Table) -> pa.Table:
+        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        u = t.column("u").to_pylist()
+        width = min(map(len, u))
+        u = np.array([x[:width] for x in u])
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        left, right, score = [], [], []
+        for start in range(0, len(x), 512):
+            part = x[start : start + 512]
+            s = u[part] @ u[y].T
+            i, j = np.nonzero(s >= least)
+            keep = (ids[part[i]] < ids[y[j]]) if lo == hi else np.ones(len(i), bool)
+            i, j = i[keep], j[keep]
+            left.append(np.minimum(ids[part[i]], ids[y[j]]))
+            right.append(np.maximum(ids[part[i]], ids[y[j]]))
+            score.append(s[i, j])
+        return pa.table({"left_id": pa.array(np.concatenate(left)), "right_id": pa.array(np.concatenate(right)), "score": pa.array(np.concatenate(score))})
+
+    return sent.groupBy("g", "lo", "hi").applyInArrow(multiply, "left_id bigint, right_id bigint, score double")
+
+
 def scored_pairs(
     entities: DataFrame, context: DataFrame, rejected: DataFrame | None = None, auto: float = AUTO_MERGE, candidate: float = CANDIDATE
 ) -> DataFrame:

@@ -648,6 +648,54 @@ def backfill_revisions(spark, sf_dir):
     return b.select("sentence_id", "revision_number", "status", F.size("entities").cast("bigint").alias("entities"), F.size("relations").cast("bigint").alias("relations"))
 
 
+def saves(spark, sf_dir):
+    """Saves of every tenth sentence: its mentions that stand at their places, with their relations; each second is a skip."""
+    s = C.sentences(spark, sf_dir).where("ordinal % 10 = 3").withColumn("status", F.when(F.col("ordinal") % 20 == 13, "skipped").otherwise("approved"))
+    m = C.mentions(spark, sf_dir)
+    fits = annotate.span_checks(m, C.sentences(spark, sf_dir)).where("is_valid").select("id")
+    state = annotate.backfill(s, m.join(fits, "id", "left_semi"), C.relations(spark, sf_dir))
+    return state.drop("revision_number").withColumn("saved_at", F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(
+    with_sql(
+        "p s m r",
+        """x as (select id as sentence_id, document_id, case when ordinal % 20 = 13 then 'skipped' else 'approved' end as status from s where ordinal % 10 = 3),
+v as (select m.*, x.sentence_id || '-1-' || m.id as new_id from m join x using (sentence_id) join s on s.id = m.sentence_id where x.status <> 'skipped'
+  and m.start_offset >= 0 and m.end_offset > m.start_offset and substring(case coalesce(m.context_role, 'current') when 'previous' then s.context_before when 'next' then s.context_after when 'current' then s.text end, m.start_offset + 1, m.end_offset - m.start_offset) = m.text),
+k as (select * from m where sentence_id is null or sentence_id not in (select sentence_id from x)),
+l as (select r.*, a.new_id as a, b.new_id as b, row_number() over (partition by r.sentence_id order by r.source_mention_id, r.target_mention_id, r.relation_type, r.source) - 1 as nth from r join v a on a.id = r.source_mention_id and a.sentence_id = r.sentence_id join v b on b.id = r.target_mention_id and b.sentence_id = r.sentence_id),
+g as (select canonical_entity_id as id from m where sentence_id in (select sentence_id from x) and canonical_entity_id is not null and canonical_entity_id not in (select canonical_entity_id from k where canonical_entity_id is not null)),
+n as (select s.id, s.document_id, coalesce(x.status, s.status) as status from s left join x on x.sentence_id = s.id),
+o as (select document_id from n where document_id in (select document_id from x) group by 1 having count(*) filter (status not in ('approved', 'uncertain', 'skipped')) = 0)
+select 'sentence' as kind, id, status as value from n
+union all select 'mention', id, canonical_entity_id from k union all select 'mention', new_id, 'c-' || new_id from v
+union all select 'relation', id, source_mention_id || ' ' || target_mention_id from r where sentence_id is null or sentence_id not in (select sentence_id from x)
+union all select 'relation', sentence_id || '-1-r' || nth, a || ' ' || b from l
+union all select 'entity', id, preferred_name from canonical_entities where id not in (select id from g) union all select 'entity', 'c-' || new_id, text from v
+union all select 'paper', id, case when id in (select document_id from o) then 'completed' else status end from p
+union all select 'revision', sentence_id, '1 ' || status from x""",
+    )
+)
+def saved_annotations(spark, sf_dir):
+    """DML1: all tables after the saves, as (kind, id, value)."""
+    tables = {
+        "papers": C.papers(spark, sf_dir), "sentences": C.sentences(spark, sf_dir), "mentions": C.mentions(spark, sf_dir),
+        "relations": C.relations(spark, sf_dir), "entities": table(spark, sf_dir, "canonical_entities"),
+    }
+    after = annotate.save_annotations(tables, saves(spark, sf_dir))
+    shown = {
+        "sentence": ("sentences", "id", F.col("status")), "mention": ("mentions", "id", F.col("canonical_entity_id")), "entity": ("entities", "id", F.col("preferred_name")),
+        "relation": ("relations", "id", F.concat("source_mention_id", F.lit(" "), "target_mention_id")), "paper": ("papers", "id", F.col("status")),
+        "revision": ("revisions", "sentence_id", F.concat_ws(" ", "revision_number", "status")),
+    }
+    out = None
+    for kind, (name, key, value) in shown.items():
+        rows = after[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id"), value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n, count(*) over (partition by user_id) as saves from events) where n <= 2 and saves >= 2")
 def latest_two(spark, sf_dir):
     """WN4: the last two events of each user that has so many, events standing for saves."""
@@ -726,13 +774,9 @@ select document_id, kappa, case when kappa is null then '无法计算' when kapp
 select a.vec_id as left_id, b.vec_id as right_id, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.3""")
 def cosine_pairs(spark, sf_dir):
     """FN30, JN8: similar vectors of one label."""
-    # lengths are divided out once per vector, not once per pair
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding"), numbers.dot(F.col("embedding"), F.col("embedding")).alias("sq"))
-    v = v.select("vec_id", "label", F.when(F.col("sq") > 0, F.transform("embedding", lambda x: x.cast("double") / F.sqrt("sq"))).alias("u"))
-    a = v.select(F.col("vec_id").alias("left_id"), "label", F.col("u").alias("x"))
-    b = v.select(F.col("vec_id").alias("right_id"), "label", F.col("u").alias("y"))
-    score = numbers.dot(F.col("x"), F.col("y"))
-    return a.join(b, "label").where("left_id < right_id").select("left_id", "right_id", score.alias("s")).where("s >= 0.3").select("left_id", "right_id", F.round("s", 6).alias("score"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    found = resolve.dense_pairs(v, "label", 0.3)
+    return found.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query(with_sql("c", """select id, case when total_score >= 0.99 then 'auto_merge' when total_score >= 0.85 then 'candidate' else 'ignore' end as action, printf('%.2f%%', total_score * 100) as shown from c"""))
@@ -822,6 +866,26 @@ def merged_entities(spark, sf_dir):
     return resolve.merged_entities(table(spark, sf_dir, "canonical_entities"), _merges(spark, sf_dir))
 
 
+_OPEN = """o as (select c.*, l.preferred_name as ln, r.preferred_name as rn from c join canonical_entities l on l.id = c.left_entity_id join canonical_entities r on r.id = c.right_entity_id where c.status = 'pending' and l.active and r.active and l.id <> r.id),
+d as (select id, right_entity_id as gone from o order by total_score desc nulls last, id limit 1)"""
+
+
+@query(with_sql("c", f"""{_OPEN}
+select c.id, case when c.id in (select id from d) then 'merged' when c.id in (select id from o) and c.total_score < 0.5 then 'rejected' when c.id in (select id from o) and c.total_score < 0.7 then 'deferred'
+  when c.status = 'pending' and (c.left_entity_id in (select gone from d) or c.right_entity_id in (select gone from d)) then 'superseded' else c.status end as status from c"""))
+def decided_candidates(spark, sf_dir):
+    """DML6: candidates after the best open one is merged, weak ones rejected and doubtful ones deferred."""
+    c, e = C.candidates(spark, sf_dir), table(spark, sf_dir, "canonical_entities")
+    active = e.where("active").select("id", "preferred_name")
+    o = c.where("status = 'pending' and left_entity_id <> right_entity_id")
+    for side in ("left", "right"):
+        o = o.join(active.select(F.col("id").alias(f"{side}_entity_id"), F.col("preferred_name").alias(f"{side}_name")), f"{side}_entity_id")
+    best = o.orderBy(F.desc_nulls_last("total_score"), "id").limit(1).select("id", F.lit("merge").alias("decision"), F.col("left_name").alias("preferred_name"))
+    weak = o.join(best, "id", "left_anti").where("total_score < 0.7")
+    rest = weak.select("id", F.when(F.col("total_score") < 0.5, "reject").otherwise("defer").alias("decision"), F.lit(None).cast("string").alias("preferred_name"))
+    return resolve.decide(c, best.unionByName(rest), e)[0].select("id", "status")
+
+
 # Maintenance, suggestions and ontology ---------------------------------------------------------------
 
 

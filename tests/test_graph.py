@@ -305,3 +305,43 @@ def test_layout_and_search(data):
     top = graph.top_nodes(nodes, 1)
     assert top.first().node_id == "e1" and graph.edges_within(edges, top).count() == 0
     assert graph.layout(nodes, edges, rounds=5).count() == nodes.count()
+
+
+def test_dense_pairs_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 40)
+    r = random.Random(5)
+    rows = [(i, r.choice("ab"), [r.gauss(1 if i % 3 else -1, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(900, "a", None), (901, "a", [0.0] * 6), (902, None, [1.0] * 6), (903, "b", [1.0, None] * 3)]
+    df = spark.createDataFrame(rows, "id bigint, label string, embedding array<double>")
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    want = {(a[0], b[0]) for a in rows[:300] for b in rows[:300] if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.7}
+    got = resolve.dense_pairs(df, "label", 0.7).collect()
+    assert {(x.left_id, x.right_id) for x in got} == want and len(got) == len(want)
+    assert resolve.dense_pairs(df.limit(0), "label", 0.7).count() == 0
+
+
+def test_a_save_replaces_a_sentence_as_a_whole(spark):
+    s = spark.createDataFrame([("s1", "d1", 0, "zinc grew", None, "it held", "pending"), ("s2", "d1", 1, "it held", "zinc grew", None, "approved"), ("s3", "d2", 0, "no", None, None, "pending")], "id string, document_id string, ordinal int, text string, context_before string, context_after string, status string")
+    m = spark.createDataFrame([("m1", "s1", "zinc", "T", 0, 4, "current", "m", "a", "e1"), ("m2", "s2", "it", "T", 0, 2, "current", "m", "a", "e2"), ("m3", "s1", "grew", "T", 5, 9, "current", "m", "a", "e2")], MENTION)
+    rel = spark.createDataFrame([("r1", "s1", "m1", "m3", "R", "m")], "id string, sentence_id string, source_mention_id string, target_mention_id string, relation_type string, source string")
+    e = spark.createDataFrame([("e1", "zinc", "T", None, None, True), ("e2", "it", "T", None, None, True)], ENTITY)
+    p = spark.createDataFrame([("d1", "reviewable"), ("d2", "reviewable")], "id string, status string")
+    tables = {"sentences": s, "mentions": m, "relations": rel, "entities": e, "papers": p}
+    kind = f"sentence_id string, saved_at timestamp, status string, entities array<{annotate.ENTITY}>, relations array<{annotate.RELATION}>"
+
+    def saved(status, entities, relations):
+        import datetime
+
+        return annotate.save_annotations(tables, spark.createDataFrame([("s1", datetime.datetime(2024, 1, 1), status, entities, relations)], kind))
+
+    two = [("a", "zinc", "M", 0, 4, "current", "manual", "manual"), ("b", "held", "M", 3, 7, "next", "manual", "manual")]
+    out = saved("approved", two, [("a", "b", "R2", "manual")])
+    assert {(x.id, x.canonical_entity_id) for x in out["mentions"].collect()} == {("m2", "e2"), ("s1-1-a", "c-s1-1-a"), ("s1-1-b", "c-s1-1-b")}
+    assert {(x.id, x.aliases_json) for x in out["entities"].collect()} == {("e2", None), ("c-s1-1-a", '["zinc"]'), ("c-s1-1-b", '["held"]')}
+    assert [tuple(x)[:4] for x in out["relations"].collect()] == [("s1-1-r0", "s1", "s1-1-a", "s1-1-b")]
+    assert {(x.id, x.status) for x in out["papers"].collect()} == {("d1", "completed"), ("d2", "reviewable")} and out["revisions"].first().revision_number == 1
+    skipped = saved("skipped", two, [("a", "b", "R2", "manual")])
+    assert [x.id for x in skipped["mentions"].collect()] == ["m2"] and skipped["relations"].count() == 0 and [x.id for x in skipped["entities"].collect()] == ["e2"]
+    for entities, relations in (([("a", "zink", "M", 0, 4, "current", "manual", "manual")], []), (two, [("a", "x", "R", "manual")])):
+        with pytest.raises(Exception):
+            saved("approved", entities, relations)
