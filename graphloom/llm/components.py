@@ -7,22 +7,21 @@ contracted at random until no edge is left, and the rounds' mappings are expande
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.runtime import materialise, table
+from graphloom.functions.names import resolution_key
+from graphloom.runtime import discard, materialise, table
 
 MERGED = ("merged", "auto_merged")
-_DELETED = re.compile(r"[\s\-_()（）]+")
 
 
 def name_key(value: str | None) -> str | None:
     """White space, hyphens, underscores and round brackets deleted, then case-folded."""
-    return None if value is None else _DELETED.sub("", value).casefold()
+    return None if value is None else resolution_key(value)
 
 
 def alias_keys(text: str | None) -> list[str]:
@@ -88,39 +87,60 @@ def mention_links(mentions: DataFrame, ids: DataFrame) -> DataFrame:
     return seen.join(spread.select("mention", "a"), "mention").select("a", "b").where("a <> b").distinct()
 
 
+#: Vertices are numbered in so many bits, the fresh hash of a round takes the rest of a number.
+VERTEX_BITS = 32
+
+
+def numbered(vertices: DataFrame) -> DataFrame:
+    """(id, v) with a number from 0 for each distinct id; only a count per partition comes to the driver."""
+    spark = vertices.sparkSession
+    at = F.monotonically_increasing_id()
+    kept = materialise(vertices.distinct().select("id", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at")), "vertices")
+    first, starts = 0, []
+    for row in sorted(kept.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda x: x.part):
+        starts.append((row.part, first))
+        first += row.n
+    if first >= 1 << VERTEX_BITS:
+        raise ValueError(f"{first} vertices don't fit into {VERTEX_BITS} bits")
+    offsets = spark.createDataFrame(starts, "part int, first bigint")
+    return kept.join(F.broadcast(offsets), "part").select("id", (F.col("first") + F.col("at")).alias("v"))
+
+
 def _rank(vertex: Column, round_no: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(round_no), vertex).alias("h"), vertex.alias("v"))
+    """A vertex behind 31 bits of a fresh hash: one number, so that its minimum needs no sorting."""
+    return F.shiftleft(F.xxhash64(F.lit(round_no), vertex).bitwiseAND((1 << 31) - 1), VERTEX_BITS).bitwiseOR(vertex)
 
 
 def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, group_id) for every vertex of ``links`` (a, b); group_id is the group's smallest id.
 
-    Each round every vertex hooks to the neighbour, itself included, that comes first in a fresh hash
-    order; the edges are relabelled, loops and doubles fall away, and the round's mapping is written to
-    the shared folder. A constant share of the vertices goes each round whatever the graph's shape, so
-    long chains and hubs alike take a logarithmic number of rounds. Loops and pairs with a null end
-    link nothing; repeated pairs count once; an empty table gives an empty result.
+    Vertices are numbered once. Each round every vertex hooks to the neighbour, itself included, that
+    comes first in a fresh hash order; the edges are relabelled, loops and doubles fall away, and the
+    round's mapping is written to the shared folder. A constant share of the vertices goes each round
+    whatever the graph's shape, so long chains and hubs alike take a logarithmic number of rounds. Loops
+    and pairs with a null end link nothing; repeated pairs count once; an empty table gives an empty result.
     """
-    edges = materialise(
-        links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
+    pairs = materialise(links.where("a <> b").select("a", "b"), "pairs")
+    names = materialise(numbered(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "numbers")
+    for end in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("id").alias(end), F.col("v").alias(f"_{end}")), end)
+    edges = materialise(pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     for round_no in range(max_rounds):
         if edges.isEmpty():
             break
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(
-            edges.select(F.col("b").alias("v"), F.col("a").alias("w"))
-        )
-        hooks = both.groupBy("v").agg(F.min(_rank(F.col("w"), round_no)).alias("best"))
-        hooks = hooks.select("v", F.least("best", _rank(F.col("v"), round_no))["v"].alias("r"))
+        ranked = edges.select("a", "b", _rank(F.col("a"), round_no).alias("ra"), _rank(F.col("b"), round_no).alias("rb"))
+        both = ranked.select(F.col("a").alias("v"), F.least("ra", "rb").alias("rank")).unionByName(ranked.select(F.col("b").alias("v"), F.least("ra", "rb").alias("rank")))
+        hooks = both.groupBy("v").agg(F.min("rank").alias("rank")).select("v", F.col("rank").bitwiseAND((1 << VERTEX_BITS) - 1).alias("r"))
         maps.append(hooks := materialise(hooks, f"hooks{round_no}"))
         moved = edges.join(hooks.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a").join(
             hooks.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b"
         )
-        edges = materialise(
+        done, edges = edges, materialise(
             moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
             f"edges{round_no}",
         )
+        discard(done)
     else:
         raise RuntimeError(f"edges were left after {max_rounds} rounds")
     if not maps:
@@ -129,9 +149,9 @@ def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     for hooks in reversed(maps[:-1]):
         onward = root.select(F.col("v").alias("r"), F.col("r").alias("onward"))
         root = hooks.join(onward, "r", "left").select("v", F.coalesce("onward", "r").alias("r"))
-    root = materialise(root, "roots")
-    smallest = root.groupBy("r").agg(F.min("v").alias("group_id"))
-    return root.join(smallest, "r").select(F.col("v").alias("id"), "group_id")
+    root = materialise(names.join(root, "v").select("id", "r"), "roots")
+    smallest = root.groupBy("r").agg(F.min("id").alias("group_id"))
+    return root.join(smallest, "r").select("id", "group_id")
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
