@@ -113,6 +113,28 @@ def span_checks(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     return mentions.join(s, "sentence_id").select("id", "sentence_id", F.coalesce(piece == F.col("text"), F.lit(False)).alias("is_valid"))
 
 
+def repaired_spans(mentions: DataFrame, sentences: DataFrame, strict: bool = False) -> DataFrame:
+    """(id, sentence_id, occurrences, start, end): mentions put where their text stands, where that is one place.
+
+    A place that fits is kept. Else all occurrences in the text of the role are counted, overlapping ones
+    too; with none or several the place is null, and with ``strict`` the job fails. Empty texts have none.
+    """
+    s = sentences.select(F.col("id").alias("sentence_id"), F.col("text").alias("_now"), "context_before", "context_after")
+    role = F.coalesce("context_role", F.lit("current"))
+    source = F.coalesce(F.when(role == "previous", F.col("context_before")).when(role == "next", F.col("context_after")).when(role == "current", F.col("_now")), F.lit(""))
+    size = F.length("text")
+    rows = mentions.join(s, "sentence_id").withColumn("_in", source)
+    fits = (F.col("start_offset") >= 0) & (F.col("end_offset") > F.col("start_offset"))
+    fits = F.coalesce(fits & (F.substring(F.col("_in"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")) == F.col("text")), F.lit(False))
+    last = F.length("_in") - size
+    found = F.when((size > 0) & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(F.col("_in"), i + 1, size) == F.col("text"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_fits", fits).withColumn("_at", F.when(F.col("_fits"), F.array("start_offset")).otherwise(F.coalesce(found, F.array().cast("array<int>"))))
+    wrong = F.raise_error(F.concat(F.lit("no one place for: "), F.coalesce("text", F.lit("")))) if strict else F.lit(None).cast("int")
+    start = F.when(F.size("_at") == 1, F.get("_at", 0)).otherwise(wrong)
+    end = F.when(F.col("_fits"), F.col("end_offset")).when(F.size("_at") == 1, F.get("_at", 0) + size)
+    return rows.select("id", "sentence_id", F.size("_at").alias("occurrences"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
 def backfill(sentences: DataFrame, mentions: DataFrame, relations: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
     """First revisions of reviewed sentences that have none: their current mentions and relations.
 

@@ -108,6 +108,14 @@ def article_edges(mentions: DataFrame, sentences: DataFrame, relations: DataFram
     )
 
 
+def node_evidence(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """One row per approved mention of the global graph: its node, and the text it was found in."""
+    m = approved_mentions(mentions, sentences)
+    return m.select(
+        F.coalesce(F.nullif("canonical_entity_id", F.lit("")), "id").alias("node_id"), F.col("id").alias("mention_id"), "document_id", "sentence_id", "page_number", "mention_text", "context_role", "evidence"
+    )
+
+
 def edge_evidence(mentions: DataFrame, sentences: DataFrame, relations: DataFrame) -> DataFrame:
     """One row per relation of the global graph with the sentence it stands in."""
     s = sentences.where("status = 'approved'").select(F.col("id").alias("sentence_id"), "document_id", "page_number", F.col("text").alias("evidence"))
@@ -161,7 +169,7 @@ def layout(nodes: DataFrame, edges: DataFrame, rounds: int = 90, seed: int = 0)
     if len(ids) > 1000:
         raise ValueError("a drawing takes at most 1000 nodes")
     place = {k: i for i, k in enumerate(ids)}
-    pairs = [(place[r.source_id], place[r.target_id]) for r in edges_within(edges, nodes).select("source_id", "target_id").distinct().limit(100_000).collect()]
+    pairs = [(place[r.source_id], place[r.target_id]) for r in edges_within(edges, nodes).select("source_id", "target_id").distinct().collect()]  # between at most 1000 nodes
     rng = np.random.default_rng(seed)
     at = rng.uniform(-1, 1, (len(ids), 2))
     for k in range(rounds):

@@ -282,6 +282,11 @@ def kept_candidates(pairs: DataFrame, merged: DataFrame) -> DataFrame:
     return out.where("not (identical and action = 'auto_merge')").withColumn("is_stale", F.coalesce("_l", "_r", F.lit(False))).drop("_l", "_r")
 
 
+def run_summary(rows: DataFrame) -> DataFrame:
+    """(auto_merged, candidates, pairs_scored) of a run's candidate rows."""
+    return rows.agg(F.count_if(F.col("status") == "auto_merged").alias("auto_merged"), F.count_if(F.col("status") == "pending").alias("candidates"), F.count("*").alias("pairs_scored"))
+
+
 def merged_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """Entities after merges (id, survivor_id[, preferred_name]): aliases united, merged ones inactive.
 

@@ -492,6 +492,32 @@ def edge_evidence(spark, sf_dir):
     return graph.edge_evidence(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir), C.relations(spark, sf_dir))
 
 
+@query(
+    with_sql(
+        "s m",
+        """x as (select m.*, coalesce(case coalesce(m.context_role, 'current') when 'previous' then s.context_before when 'next' then s.context_after when 'current' then s.text end, '') as src from m join s on s.id = m.sentence_id),
+y as (select *, coalesce(start_offset >= 0 and end_offset > start_offset and substring(src, start_offset + 1, end_offset - start_offset) = text, false) as fits from x),
+z as (select *, case when fits then [start_offset::bigint] when length(text) > 0 then list_filter(range(0, length(src) - length(text) + 1), lambda i: substring(src, (i + 1)::bigint, length(text)) = text) else [] end as spots from y)
+select id, sentence_id, len(spots)::int as occurrences, case when len(spots) = 1 then spots[1] end::int as "start", case when fits then end_offset when len(spots) = 1 then spots[1] + length(text) end::int as "end" from z""",
+    )
+)
+def repaired_spans(spark, sf_dir):
+    """FN24: wrong places of mentions mended where their text stands once, overlapping occurrences counted."""
+    return annotate.repaired_spans(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir))
+
+
+@query(with_sql("s m", f"select {_NODE} as node_id, m.id as mention_id, s.document_id, s.id as sentence_id, s.page_number, m.text as mention_text, m.context_role, {_EVIDENCE} as evidence from m join s on s.id = m.sentence_id where s.status = 'approved'"))
+def node_evidence(spark, sf_dir):
+    """AG8: the mentions behind each node of the global graph with their texts."""
+    return graph.node_evidence(C.mentions(spark, sf_dir), C.sentences(spark, sf_dir))
+
+
+@query(with_sql("c", """select count(*) filter (status = 'auto_merged') as auto_merged, count(*) filter (status = 'pending') as candidates, count(*) as pairs_scored from c where total_score >= 0.85"""))
+def resolution_summary(spark, sf_dir):
+    """AG15: a run's candidates counted by what became of them."""
+    return resolve.run_summary(C.candidates(spark, sf_dir).where("total_score >= 0.85"))
+
+
 @query(with_sql("s m e", f"""g as (select {_NODE} as node_id, count(*) as mention_count from m join s on s.id = m.sentence_id where s.status = 'approved' group by 1)
 select node_id, mention_count from g order by mention_count desc, node_id limit 160"""))
 def top_nodes(spark, sf_dir):

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from graphloom.operators import agreement, annotate, embed, graph, maintain, resolve, suggest
 from graphloom.sources import sinks
-from graphloom.streaming.events import annotation_stream
+from graphloom.streaming.events import annotation_stream, current_state
 
 SENTENCE = "id string, document_id string, ordinal int, page_number int, text string, context_before string, context_after string, status string"
 MENTION = "id string, sentence_id string, text string, entity_type string, start_offset int, end_offset int, context_role string, source string, decision string, canonical_entity_id string"
@@ -294,7 +294,8 @@ def test_stream_is_idempotent(spark, tmp_path):
     annotation_stream(spark, *args).awaitTermination()
     annotation_stream(spark, *args).awaitTermination()
     assert {(x.revision_number, x.status) for x in spark.read.parquet(args[1]).collect()} == {(1, "approved"), (2, "skipped")}
-    assert [x.status for x in spark.read.parquet(args[2]).collect()] == ["skipped"]
+    assert [(x.revision_number, x.status) for x in current_state(spark, args[2]).collect()] == [(2, "skipped")]
+    assert current_state(spark, args[2], 1).first().status == "approved" and current_state(spark, args[2], 0) is None
 
 
 def test_layout_and_search(data):
@@ -345,3 +346,13 @@ def test_a_save_replaces_a_sentence_as_a_whole(spark):
     for entities, relations in (([("a", "zink", "M", 0, 4, "current", "manual", "manual")], []), (two, [("a", "x", "R", "manual")])):
         with pytest.raises(Exception):
             saved("approved", entities, relations)
+
+
+def test_repaired_spans(spark):
+    s = spark.createDataFrame([("s1", "d", 0, "aaa b", "ab ab", None, "pending")], "id string, document_id string, ordinal int, text string, context_before string, context_after string, status string")
+    rows = [("m1", "b", 0, 1, None), ("m2", "aa", 3, 5, "current"), ("m3", "aa", 1, 3, "current"), ("m4", "ab", 1, 2, "previous"), ("m5", "x", 0, 1, "next"), ("m6", "", 0, 0, "current"), ("m7", None, 0, 1, "current"), ("m8", "aaa b", 2, 3, "current")]
+    m = spark.createDataFrame([(i, "s1", t, "T", a, b, role, "m", "a", None) for i, t, a, b, role in rows], MENTION)
+    got = {x.id: (x.occurrences, x.start, x.end) for x in annotate.repaired_spans(m, s).collect()}
+    assert got == {"m1": (1, 4, 5), "m2": (2, None, None), "m3": (1, 1, 3), "m4": (2, None, None), "m5": (0, None, None), "m6": (0, None, None), "m7": (0, None, None), "m8": (1, 0, 5)}
+    with pytest.raises(Exception):
+        annotate.repaired_spans(m.where("id = 'm2'"), s, strict=True).collect()
