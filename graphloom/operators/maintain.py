@@ -48,6 +48,20 @@ def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dic
     return out, counts
 
 
+def files_of(papers: DataFrame, gone: DataFrame, formula_assets: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
+    """(document_id, path): the files that go with the papers of ``gone`` (document_id), each once.
+
+    These are the stored papers and the images of their formulas (sentence_id, image_path); whoever
+    deletes removes them after the tables, which decide.
+    """
+    gone = gone.select("document_id").distinct()
+    paths = papers.select(F.col("id").alias("document_id"), F.col("storage_path").alias("path"))
+    if formula_assets is not None and sentences is not None:
+        of = sentences.select(F.col("id").alias("sentence_id"), "document_id").distinct()
+        paths = paths.unionByName(formula_assets.join(of, "sentence_id").select("document_id", F.col("image_path").alias("path")))
+    return paths.where("path is not null and path <> ''").join(gone, "document_id", "left_semi").distinct()
+
+
 def replace_document(sentences: DataFrame, fresh: DataFrame) -> DataFrame:
     """Sentences with those of re-read papers replaced."""
     kept = sentences.join(fresh.select("document_id").distinct(), "document_id", "left_anti")

@@ -939,6 +939,19 @@ def delete_document(spark, sf_dir):
     return maintain.delete_documents(tables, papers.agg(F.min("id").alias("document_id")))[1]
 
 
+@query(with_sql("p", "select id as document_id, storage_path as path from p where sentence_count = 0 and storage_path <> ''"))
+def removable_files(spark, sf_dir):
+    """SET5: the files that go when the papers without a sentence are deleted."""
+    p = C.papers(spark, sf_dir)
+    return maintain.files_of(p, p.where("sentence_count = 0").select(F.col("id").alias("document_id")))
+
+
+@query("select 'ok' as status")
+def health(spark, sf_dir):
+    """PRJ6: a session that answers."""
+    return spark.range(1).select(F.lit("ok").alias("status"))
+
+
 def predictions(spark, sf_dir):
     """Current mentions as predictions of their sentence, every third with its place lost."""
     m = C.mentions(spark, sf_dir).where("coalesce(context_role, 'current') = 'current'")

@@ -356,3 +356,24 @@ def test_repaired_spans(spark):
     assert got == {"m1": (1, 4, 5), "m2": (2, None, None), "m3": (1, 1, 3), "m4": (2, None, None), "m5": (0, None, None), "m6": (0, None, None), "m7": (0, None, None), "m8": (1, 0, 5)}
     with pytest.raises(Exception):
         annotate.repaired_spans(m.where("id = 'm2'"), s, strict=True).collect()
+
+
+def test_files_and_replacement(spark):
+    p = spark.createDataFrame([("d1", "a.pdf"), ("d1", "a.pdf"), ("d2", None), ("d3", "c.pdf")], "id string, storage_path string")
+    s = spark.createDataFrame([("s1", "d1"), ("s2", "d3")], "id string, document_id string")
+    assets = spark.createDataFrame([("s1", "f1.png"), ("s1", "f1.png"), ("s2", "f2.png")], "sentence_id string, image_path string")
+    gone = spark.createDataFrame([("d1",), ("d2",)], "document_id string")
+    assert sorted(tuple(x) for x in maintain.files_of(p, gone, assets, s).collect()) == [("d1", "a.pdf"), ("d1", "f1.png")]
+    fresh = spark.createDataFrame([("n1", "d1")], "id string, document_id string")
+    assert sorted(x.id for x in maintain.replace_document(s, fresh).collect()) == ["n1", "s2"]
+    assert [x.context_role for x in maintain.with_context_role(s).collect()] == ["current"] * 2
+
+
+def test_text_sinks_read_back(spark, tmp_path):
+    lines = spark.createDataFrame([("d2", 0, "z"), ("d1", 1, "b"), ("d1", 0, "a")], "document_id string, ordinal int, line string")
+    sinks.write_jsonl(lines, str(tmp_path / "l"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "l")).collect()) == ["a", "b", "z"]
+    rows = spark.createDataFrame([("x,y", 'say "so"'), (None, "2")], "a string, b string")
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()
+    assert sorted(map(tuple, back), key=str) == sorted([("x,y", 'say "so"'), (None, "2")], key=str)
