@@ -5,7 +5,8 @@ pages around it. One averaged perceptron edits the rest: for each character of a
 replace, delete and insert, for a word whether its best edit is made, for a gap between words and for a
 mark at a line end whether they are joined, and for an ideograph whether it is replaced. Whether clean
 text knows a word, a pair of ideographs or what an edit makes of them is a feature among others; it comes
-from a bit map sized by the number of words.
+from a bit map sized by the number of words. The perceptron is fitted on every row of the papers' clean
+text: what it says is counted in parallel, and examples stand in the fit with their counts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import random
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.runtime import materialise, table
+from graphloom.runtime import discard, materialise, table
 
 #: Bits of the map of known words for each of them, the places a word takes in it, and its bounds: about
 #: one unknown word in a thousand passes as known. Beyond the upper bound (107 million words) the job fails.
 BITS_A_WORD, PLACES = 20, 4
 MAP_LEAST, MAP_MOST = 1 << 24, 1 << 31
 _PART = 1 << 19
-#: Rows of clean text the editor is trained on, at most about so many.
-TRAINING_ROWS = 3000
-TRAINING_WORDS = 2500
 EPOCHS = 3
 SEED = 17
+#: A fit takes at least about so many steps a round, if its counts give them; further ones only for further examples.
+STEPS = 2000
+#: How often a word of clean text is shown with each part misrecognised, and whole for each of those.
+NOISY, WHOLE = 20, 3
+#: What a kind of example weighs in the fit of its group, however many examples the text gives.
+SHARES = {
+    "known": 2000, "misread": 4000, "right": 200, "code": 600, "cut": 3000, "compound": 1500, "mark": 2,
+    "divided": 3000, "beside": 3000, "strange": 3000, "wrong sign": 2000, "right sign": 2000,
+}
 #: A line is a running head if its text stands at the edge of at least so many of the paper's pages.
 HEAD_PAGES, HEAD_SHARE = 3, 0.12
 #: Pages a running head or a series of page numbers is counted over begin at every so many pages, twice as many.
@@ -44,9 +52,10 @@ EDGE = 3
 BEAM = 400
 
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
-_WORD = re.compile(rf"(?:(?![{_CJK}])[^\W_])+")
+_WORD = re.compile(rf"[^\W_{_CJK}]+")
 _IDEOGRAPH = re.compile(f"[{_CJK}]")
 _HYPHENS = "-‐­¬"
+_HYPHENATED = re.compile(rf"(?<![^\W_{_CJK}])([^\W_{_CJK}]+)[-‐]([^\W_{_CJK}]+)")
 _CUT = re.compile(rf"((?:(?![{_CJK}])[^\W_])+)([{_HYPHENS}])$")
 # What scanners commonly take for what (fixed values): recognised text, true text.
 CONFUSIONS = (
@@ -85,15 +94,36 @@ def _folded(word: str) -> str:
     return re.sub(r"\d+", "0", word.lower())
 
 
-def clean_words(text: str) -> set[str]:
-    """What a clean text makes known: its words, its hyphenated compounds and its pairs of ideographs."""
-    out = {_folded(m.group()) for m in _WORD.finditer(text)}
-    for m in re.finditer(rf"((?:(?![{_CJK}])[^\W_])+)[-‐]((?:(?![{_CJK}])[^\W_])+)", text):
-        out.add(f"{m.group(1)}-{m.group(2)}".lower())
-    if _IDEOGRAPH.search(text):
-        flat = re.sub(r"\s+", "", text)
-        shapes = ["^", *map(_shape, flat), "$"]
-        out.update(a + b for a, b in zip(shapes, shapes[1:]) if _IDEOGRAPH.match(a) or _IDEOGRAPH.match(b))
+class _Shapes(dict):
+    """The shapes of characters for str.translate."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = out = ord(_shape(chr(code)))
+        return out
+
+
+_SHAPES = _Shapes()
+
+
+def shapes_of(text: str) -> str:
+    """The shapes of a text without white space, both ends marked."""
+    return "^" + "".join(text.split()).translate(_SHAPES) + "$"
+
+
+def clean_words(texts: Iterable[str]) -> set[str]:
+    """What clean texts make known: their words, their hyphenated compounds and their pairs of ideographs."""
+    words: set[str] = set()
+    pairs: set[tuple[str, str]] = set()
+    out: set[str] = set()
+    for text in texts:
+        words.update(_WORD.findall(text))
+        if "-" in text or "‐" in text:
+            out.update(f"{a}-{b}".lower() for a, b in _HYPHENATED.findall(text))
+        if _IDEOGRAPH.search(text):
+            shapes = shapes_of(text)
+            pairs.update(zip(shapes, shapes[1:]))
+    out.update(map(_folded, words))
+    out.update(a + b for a, b in pairs if _IDEOGRAPH.match(a) or _IDEOGRAPH.match(b))
     return out
 
 
@@ -115,7 +145,7 @@ class Known:
 
     @staticmethod
     def of(texts: Iterable[str]) -> Known:
-        words = set().union(*map(clean_words, texts)) if texts else set()
+        words = clean_words(texts)
         raw = bytearray(map_bits(len(words)) // 8)
         for w in words:
             for k in _places(w, len(raw) * 8 - 1):
@@ -128,10 +158,7 @@ def known_words(spark: SparkSession, clean: DataFrame) -> Known:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: set[str] = set()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    words |= clean_words(text)
+            words = clean_words(filter(None, batch.column(0).to_pylist()))
             values = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.sort(values), pa.int64())], names=["h"])
 
@@ -159,35 +186,34 @@ class Perceptron:
     """Multi-class averaged perceptron over sparse features."""
 
     def __init__(self):
-        self.labels: list[str] = []
         self.weights: dict[str, dict[str, float]] = {}
 
-    def scores(self, features: list[str]) -> dict[str, float]:
+    def scores(self, features: Iterable[str]) -> dict[str, float]:
         out: dict[str, float] = {}
         for f in features:
             for label, w in self.weights.get(f, {}).items():
                 out[label] = out.get(label, 0.0) + w
         return out
 
-    def fit(self, examples: list[tuple[list[str], str]], epochs: int = EPOCHS, seed: int = SEED) -> Perceptron:
+    def fit(self, examples: list[tuple[Iterable[str], str, float]], epochs: int = EPOCHS, seed: int = SEED) -> Perceptron:
+        """The weights from (features, label, size of the step); what nothing is known of is kept."""
         rng = random.Random(seed)
         total: dict[tuple[str, str], float] = {}
         stamp: dict[tuple[str, str], int] = {}
         step = 0
         order = list(range(len(examples)))
-        default = sorted({y for _, y in examples})[:1]
         for _ in range(epochs):
             rng.shuffle(order)
             for k in order:
-                features, gold = examples[k]
+                features, gold, size = examples[k]
                 step += 1
                 s = self.scores(features)
-                guess = max(sorted(s), key=s.__getitem__) if s else default[0]
+                guess = max(sorted(s), key=s.__getitem__) if s else "K"
                 if guess == gold:
                     continue
                 for f in features:
                     row = self.weights.setdefault(f, {})
-                    for label, d in ((gold, 1.0), (guess, -1.0)):
+                    for label, d in ((gold, size), (guess, -size)):
                         at = (f, label)
                         total[at] = total.get(at, 0.0) + (step - stamp.get(at, 0)) * row.get(label, 0.0)
                         stamp[at] = step
@@ -199,12 +225,19 @@ class Perceptron:
         return self
 
 
-def _char_features(word: str, i: int) -> list[str]:
-    pad = f"<<{word}>>"
-    a, b, c, d, e = pad[i], pad[i + 1], pad[i + 2], pad[i + 3], pad[i + 4]
+def _steps(counts: Iterable[tuple[Iterable[str], str, float]]) -> list[tuple[Iterable[str], str, float]]:
+    """Counted examples as steps of a size of at most one that add up to the counts."""
+    return [(x, y, n / times) for x, y, n in counts for times in (max(1, -int(-n // 1)),) for _ in range(times)]
+
+
+def _window_features(a: str, b: str, c: str, d: str, e: str) -> list[str]:
     return [f"c{c}", f"l{b}{c}", f"r{c}{d}", f"t{b}{c}{d}", f"L{a}{b}{c}", f"R{c}{d}{e}", f"w{a}{b}{c}{d}{e}"]
 
 
+def _char_features(word: str, i: int) -> list[str]:
+    return _window_features(*f"<<{word}>>"[i : i + 5])
+
+
 def _corrupt(word: str, seen: str, true: str, at: int) -> tuple[str, list[str]]:
     """The word with ``true`` at a place recognised as ``seen``, and the edit of each character."""
     noisy = word[:at] + seen + word[at + len(true) :]
@@ -220,23 +253,32 @@ def _corrupt(word: str, seen: str, true: str, at: int) -> tuple[str, list[str]]:
     return noisy, ops
 
 
-def train_editor(words: list[str], seed: int = SEED) -> Perceptron:
-    """The editor, from clean words and the same words with one part misrecognised."""
-    rng = random.Random(seed)
-    examples = []
-    rounds = max(2, TRAINING_WORDS // max(1, len(words)))
+def _spots(word: str) -> list[tuple[str, str, int]]:
+    return [(seen, true, i) for seen, true in CONFUSIONS if true in word for i in range(len(word)) if word.startswith(true, i)]
+
+
+def char_examples(words: Iterable[str]) -> Counter[tuple[str, str]]:
+    """(five characters, edit of the middle one) of clean words and of the same words with each one part misrecognised."""
+    out: Counter[tuple[str, str]] = Counter()
     for word in words:
         if len(word) < 3:
             continue
-        if rng.random() < 0.3:
-            examples += [(_char_features(word, i), "K") for i in range(len(word))]
-        for _ in range(rounds):
-            spots = [(s, t, i) for s, t in CONFUSIONS for i in range(len(word)) if word.startswith(t, i)]
-            if not spots:
-                break
-            noisy, ops = _corrupt(word, *rng.choice(spots))
-            examples += [(_char_features(noisy, i), op) for i, op in enumerate(ops)]
-    return Perceptron().fit(examples)
+        spots = _spots(word)
+        for noisy, ops, n in [(word, "K" * len(word), WHOLE * max(1, len(spots))), *((*_corrupt(word, *spot), NOISY) for spot in spots)]:
+            pad = f"<<{noisy}>>"
+            for i, op in enumerate(ops):
+                out[pad[i : i + 5], op] += n
+    return out
+
+
+def fit_chars(counts: Iterable[tuple[str, str, int]]) -> dict[str, dict[str, float]]:
+    """The weights from all counted (five characters, edit) of one middle character.
+
+    Every feature holds the middle character, so the characters' weights never meet and each is fitted by itself.
+    """
+    rows = sorted(counts)
+    unit = max(1, sum(n for _, _, n in rows) // max(STEPS, len(rows)))
+    return Perceptron().fit(_steps((_window_features(*window), op, n / unit) for window, op, n in rows)).weights
 
 
 def _apply(word: str, i: int, op: str) -> str:
@@ -253,7 +295,7 @@ def _size(value: float, bounds: tuple[float, ...]) -> int:
 class Editor:
     """One perceptron for all edits; what clean text knows is among its features."""
 
-    def __init__(self, known: Known, model: Perceptron, follows: dict[str, dict[str, int]]):
+    def __init__(self, known: Known, model: Perceptron, follows: dict[str, str]):
         self.known, self.model, self.follows = known, model, follows
         self.__setstate__((known, model, follows))
 
@@ -355,8 +397,7 @@ class Editor:
 
     def sign(self, left: str, right: str) -> str | None:
         """The ideograph that most often stands between its neighbours."""
-        options = [(n, c) for c, n in self.follows.get(left, {}).items() if right in self.follows.get(c, {}) and _IDEOGRAPH.match(c)]
-        return max(options, key=lambda x: (x[0], x[1]))[1] if options else None
+        return next((c for c in self.follows.get(left, "") if right in self.follows.get(c, "") and _IDEOGRAPH.match(c)), None)
 
     def signs(self, shapes: list[str]) -> list[int]:
         """Places of the ideographs that are replaced, in a list of shapes with both ends marked."""
@@ -372,102 +413,135 @@ class Editor:
         return out
 
 
-def shapes_of(text: str) -> list[str]:
-    return ["^", *(_shape(c) for c in text if not c.isspace()), "$"]
-
+_COMPOUND = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})[-‐]([^\W\d_]{2,})")
 
-def train(texts: list[str], known: Known, seed: int = SEED) -> Editor:
-    """The editor, from the words, compounds, gaps and ideographs of clean texts.
 
-    A misread word, a cut line and a divided word are made from clean ones. As clean text will hold words
-    that the map doesn't, a share of the words is shown as unknown and right.
-    """
-    counts: dict[str, int] = {}
-    compounds: set[tuple[str, str]] = set()
-    beside: list[tuple[str, str]] = []
-    follows: dict[str, dict[str, int]] = {}
-    signs: list[list[str]] = []
+def clean_forms(texts: Iterable[str]) -> Counter[tuple[str, str, str]]:
+    """What clean texts hold, by kind: words (w), compounds (c), neighbouring words (g), neighbouring shapes of which
+    one is an ideograph (f), and the shapes on both sides of an ideograph (s)."""
+    words: set[str] = set()
+    out: Counter[tuple[str, str, str]] = Counter()
+    pairs, near, around = Counter(), Counter(), Counter()
     for text in texts:
-        words = [m.group() for m in _WORD.finditer(text)]
-        beside += [(a, b) for a, b in zip(words, words[1:]) if a.isalpha() and b.isalpha()][:20]
-        for w in map(str.lower, words):
-            if w.isalpha():
-                counts[w] = counts.get(w, 0) + 1
-        compounds.update((m.group(1).lower(), m.group(2).lower()) for m in re.finditer(r"([^\W\d_]{2,})[-‐]([^\W\d_]{2,})", text) if m.group().isascii() or not _IDEOGRAPH.search(m.group()))
+        found = _WORD.findall(text)
+        words.update(found)
+        pairs.update(zip(found, found[1:]))
+        if "-" in text or "‐" in text:
+            out.update(("c", a.lower(), b.lower()) for a, b in _COMPOUND.findall(text) if not _IDEOGRAPH.search(a + b))
         if _IDEOGRAPH.search(text):
             shapes = shapes_of(text)
-            signs.append(shapes)
-            for a, b in zip(shapes, shapes[1:]):
-                if _IDEOGRAPH.match(a) or _IDEOGRAPH.match(b):
-                    row = follows.setdefault(a, {})
-                    row[b] = row.get(b, 0) + 1
-    words = sorted(counts, key=lambda w: (-counts[w], w))[:TRAINING_WORDS]
-    rng = random.Random(seed)
-    edits = train_editor(words, seed)
-    editor = Editor(known, edits, follows)
-    examples = []
-    spots_of = lambda w: [(s, t, i) for s, t in CONFUSIONS for i in range(len(w)) if w.startswith(t, i)]
-    for k in range(6000 if words else 0):
-        w = words[k % len(words)]
-        spots = spots_of(w)
-        if k % 3 == 0 or not spots:
-            examples.append((editor.word_features(w, True, None, 0.0), "K"))
-            continue
-        noisy = _corrupt(w, *rng.choice(spots))[0]
-        if rng.random() < 0.2:  # two parts misread, or a word clean text doesn't know
-            again = spots_of(noisy)
-            noisy = _corrupt(noisy, *rng.choice(again))[0] if again else noisy
-        if rng.random() < 0.2:
-            noisy = noisy.capitalize()
-        if editor.is_known(noisy):
-            continue
-        fixed, _, lead = editor.edit(noisy)
-        if rng.random() < 0.15:
-            fixed = None
-        examples.append((editor.word_features(noisy, False, fixed, lead), "E"))
-    for k in range(600 if words else 0):  # right, though unknown
-        if k % 3 == 0:
-            w = rng.choice(words)
-            examples.append((editor.word_features(w, False, None, editor.edit(w)[2]), "K"))
-        code = "".join(rng.choice("abcxyz") if j == k % 2 else rng.choice("0123456789") for j in range(rng.randint(2, 5)))
-        if not editor.is_known(code):
-            fixed, _, lead = editor.edit(code)
-            examples.append((editor.word_features(code, False, fixed, lead), "K"))
-    long = [w for w in words if len(w) >= 5]
-    for k in range(3000 if long else 0):
-        w = long[k % len(long)]
-        if k % 3 == 2:
-            spots = spots_of(w)
-            w = _corrupt(w, *rng.choice(spots))[0] if spots else w
-        at = rng.randint(2, len(w) - 2)
-        examples.append((editor.join_features(w[:at], rng.choice(_HYPHENS), w[at:]), "J"))
-        examples.append((editor.gap_features(long[k % len(long)][:at], long[k % len(long)][at:]), "M"))
-    pairs = sorted(compounds)
-    for k in range(1500 if pairs else 0):
-        a, b = pairs[k % len(pairs)]
-        examples.append((editor.join_features(a, rng.choice("-‐"), b), "K"))
-    for a, b in rng.sample(beside, min(3000, len(beside))):
-        examples.append((editor.gap_features(a, b), "K"))
-        examples.append((editor.gap_features(a[::-1] + "q", b), "K"))  # a word clean text doesn't know beside one it does
-    examples += [(["line soft"], "J"), (["line hard"], "K")]
-    pool = sorted({c for shapes in signs for c in shapes if _IDEOGRAPH.match(c)})
-    for _ in range(4000 if pool else 0):
-        shapes = list(rng.choice(signs))
-        places = [n for n in range(1, len(shapes) - 1) if _IDEOGRAPH.match(shapes[n])]
-        n = rng.choice(places)
-        wrong = rng.random() < 0.5
-        if wrong:
-            shapes[n] = rng.choice(pool)
-        state = []
-        for d in (-1, 0, -2, 1):
-            pair = shapes[max(n + d, 0) : n + d + 2]
-            fine = len(pair) < 2 or not (_IDEOGRAPH.match(pair[0]) or _IDEOGRAPH.match(pair[1])) or editor.pair_known(*pair)
-            state.append(fine and (wrong or rng.random() > 0.2))  # clean text holds pairs the map doesn't, too
-        examples.append((editor.sign_features(*state), "Z" if wrong and not (state[0] and state[1]) else "K"))
-    for label in ("E", "J", "M", "Z"):  # without training text an unknown form is changed, a known one kept
-        examples += [([f"{label} none"], label)]
-    extra = Perceptron().fit(examples)
-    edits.weights.update(extra.weights)  # the features of characters, words, joins and signs don't meet
+            near.update(zip(shapes, shapes[1:]))
+            around.update(zip(shapes, shapes[1:], shapes[2:]))
+    signs = {c for pair in near for c in pair if _IDEOGRAPH.match(c)}
+    lower = {w: w.lower() for w in words if w.isalpha()}
+    out.update(("w", w, "") for w in set(lower.values()))
+    for (a, b), n in pairs.items():
+        if a in lower and b in lower:
+            out["g", lower[a], lower[b]] += n
+    for (a, b), n in near.items():
+        if a in signs or b in signs:
+            out["f", a, b] += n
+    for (a, c, b), n in around.items():
+        if c in signs:
+            out["s", a, b] += n
+    return out
+
+
+def edit_examples(forms: Iterable[tuple[str, str, str, int]], editor: Editor, seed: int = SEED) -> Counter[tuple[str, tuple[str, ...], str]]:
+    """(kind of example, features, label) from all forms of clean text, counted.
+
+    Every word is shown whole, misread in one and in two parts, cut and divided; where, its own seed draws. As
+    clean text will hold words and pairs that the map doesn't, a share is shown as unknown and right. A wrong
+    ideograph is any ideograph of the text in any place of one.
+    """
+    out: Counter[tuple[str, tuple[str, ...], str]] = Counter()
+
+    def show(kind: str, features: list[str], label: str, n: int = 1) -> None:
+        out[kind, tuple(features), label] += n
+
+    signs = {c for c in {*editor.follows, *"".join(editor.follows.values())} if _IDEOGRAPH.match(c)}
+    after = {a: signs.intersection(row) for a, row in editor.follows.items()}
+    before: dict[str, set[str]] = {}
+    for a in signs:
+        for b in editor.follows.get(a, ""):
+            before.setdefault(b, set()).add(a)
+    right_signs = 0
+    for kind, a, b, n in forms:
+        if kind == "w":
+            rng = random.Random(f"{seed} {a}")
+            spots = _spots(a)
+            show("known", editor.word_features(a, True, None, 0.0), "K")
+            show("right", editor.word_features(a, False, None, editor.edit(a)[2]), "K")
+            once = _corrupt(a, *rng.choice(spots))[0] if spots else a
+            twice = _corrupt(once, *rng.choice(again))[0] if (again := _spots(once)) else once
+            for noisy, times in ((once, 4), (twice, 1)) if spots else ():
+                if not editor.is_known(noisy):
+                    fixed, _, lead = editor.edit(noisy)
+                    for word, upper in ((noisy, 4), (noisy.capitalize(), 1)):
+                        for outcome, open_ in ((fixed, 17), (None, 3)):
+                            show("misread", editor.word_features(word, False, outcome, lead), "E", times * upper * open_)
+            if len(a) >= 5:
+                at = rng.randint(2, len(a) - 2)
+                show("cut", editor.join_features(a[:at], rng.choice(_HYPHENS), a[at:]), "J", 2)
+                show("divided", editor.gap_features(a[:at], a[at:]), "M")
+                at = rng.randint(2, len(once) - 2)
+                show("cut", editor.join_features(once[:at], rng.choice(_HYPHENS), once[at:]), "J")
+        elif kind == "c":
+            show("compound", editor.join_features(a, "-", b), "K")
+        elif kind == "g":
+            show("beside", editor.gap_features(a, b), "K", n)
+            show("strange", editor.gap_features(a[::-1] + "q", b), "K", n)  # a word clean text doesn't know beside one it does
+        elif kind == "s":
+            left, right = after.get(a, set()), before.get(b, set())
+            both = len(left & right)
+            for known, times in (((True, True), both), ((True, False), len(left) - both), ((False, True), len(right) - both), ((False, False), len(signs) - len(left) - len(right) + both)):
+                if times:
+                    show("wrong sign", editor.sign_features(*known, True, True), "K" if all(known) else "Z", n * times)
+            right_signs += n
+    for k in range(16 if right_signs else 0):  # each pair around a right ideograph is unknown one time in five
+        flags = [bool(k >> i & 1) for i in range(4)]
+        show("right sign", editor.sign_features(*flags), "K", right_signs * 4 ** sum(flags))
+    return out
+
+
+def fit_edits(counts: Counter[tuple[str, tuple[str, ...], str]], editor: Editor, seed: int = SEED) -> dict[str, dict[str, float]]:
+    """The weights for words, joins, gaps and ideographs, each group by itself, from all counted examples."""
+    counts = Counter(counts)
+    if any(kind == "known" for kind, _, _ in counts):
+        rng = random.Random(seed)
+        for k in range(SHARES["code"]):
+            code = "".join(rng.choice("abcxyz") if j == k % 2 else rng.choice("0123456789") for j in range(rng.randint(2, 5)))
+            if not editor.is_known(code):
+                fixed, _, lead = editor.edit(code)
+                counts["code", tuple(editor.word_features(code, False, fixed, lead)), "K"] += 1
+    counts["mark", ("line soft",), "J"] = counts["mark", ("line hard",), "K"] = 1
+    totals: Counter[str] = Counter()
+    for (kind, _, _), n in counts.items():
+        totals[kind] += n
+    groups: dict[str, list[tuple[tuple[str, ...], str, float]]] = {}
+    for kind, features, label in sorted(counts):
+        groups.setdefault(features[0].split()[0], []).append((features, label, counts[kind, features, label] * SHARES[kind] / totals[kind]))
+    out: dict[str, dict[str, float]] = {}
+    for group in groups.values():
+        out.update(Perceptron().fit(_steps(group), seed=seed).weights)
+    return out
+
+
+def train(texts: Iterable[str], known: Known, seed: int = SEED) -> Editor:
+    """The editor from clean texts held in memory, the same as :func:`fit_editor` makes from tables."""
+    forms = clean_forms(texts)
+    model = Perceptron()
+    by: dict[str, list[tuple[str, str, int]]] = {}
+    for (window, op), n in char_examples(a for kind, a, _ in forms if kind == "w").items():
+        by.setdefault(window[2], []).append((window, op, n))
+    for rows in by.values():
+        model.weights.update(fit_chars(rows))
+    follows: dict[str, list[tuple[int, str]]] = {}
+    for (kind, a, b), n in forms.items():
+        if kind == "f":
+            follows.setdefault(a, []).append((n, b))
+    editor = Editor(known, model, {a: "".join(b for _, b in sorted(row, reverse=True)) for a, row in follows.items()})
+    model.weights.update(fit_edits(edit_examples(((*form, n) for form, n in forms.items()), editor, seed), editor, seed))
     return editor
 
 
@@ -812,13 +886,56 @@ def clean_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def fit_editor(spark: SparkSession, sf_dir: str, most: int = TRAINING_ROWS) -> Editor:
-    """The editor of a data folder: the map over all clean text, perceptrons over a bounded sample."""
+def _count(forms: DataFrame, columns: dict[str, str], examples: Callable[[pa.RecordBatch], Counter]) -> DataFrame:
+    """The sums of what ``examples`` counts in each batch, by ``columns``, name and type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.list_(pa.string()) if t.startswith("array") else pa.string() for t in columns.values()]
+        for batch in batches:
+            found = examples(batch)
+            keys = zip(*found) if found else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types)), pa.array(found.values(), pa.int64())], names=[*columns, "n"])
+
+    ddl = ", ".join(f"`{name}` {t}" for name, t in columns.items())
+    return forms.mapInArrow(run, f"{ddl}, n bigint").groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def fit_texts(texts: DataFrame, known: Known) -> Editor:
+    """The editor from every row of ``texts`` (text); to the driver come the fitted weights and sums by feature only."""
+    spark = texts.sparkSession
+    strings = lambda names: dict.fromkeys(names, "string")
+    forms = _count(texts.select("text").where("text is not null"), strings(("kind", "a", "b")), lambda batch: clean_forms(batch.column(0).to_pylist()))
+    forms = materialise(forms, "forms")
+    rows = forms.where("kind = 'f'").groupBy("a").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "b")), False), lambda x: x.b), "").alias("row"))
+    follows = {r.a: r.row for r in rows.collect()}
+
+    def fit(cells: pa.Table) -> pa.Table:
+        weights = fit_chars(zip(cells.column("window").to_pylist(), cells.column("op").to_pylist(), cells.column("n").to_pylist()))
+        flat = [(f, label, w) for f, row in weights.items() for label, w in row.items()]
+        return pa.table({name: pa.array(column, t) for name, column, t in zip(("feature", "label", "weight"), zip(*flat) if flat else [()] * 3, (pa.string(), pa.string(), pa.float64()))})
+
+    windows = _count(forms.where("kind = 'w'").select("a"), strings(("window", "op")), lambda batch: char_examples(batch.column(0).to_pylist()))
+    windows = windows.withColumn("middle", F.substring("window", 3, 1)).repartition(spark.sparkContext.defaultParallelism, "middle")
+    model = Perceptron()
+    fitted = windows.groupBy("middle").applyInArrow(fit, "feature string, label string, weight double").toArrow()
+    for feature, label, weight in zip(*(c.to_pylist() for c in fitted.columns)):
+        model.weights.setdefault(feature, {})[label] = weight
+    editor = Editor(known, model, follows)
+    shared = spark.sparkContext.broadcast(editor)
+    columns = {"kind": "string", "features": "array<string>", "label": "string"}
+    counted = _count(forms.where("kind <> 'f'"), columns, lambda batch: edit_examples(zip(*(c.to_pylist() for c in batch.columns)), shared.value))
+    counts = Counter({(r.kind, tuple(r.features), r.label): r.n for r in counted.collect()})
+    shared.destroy()
+    discard(forms)
+    model.weights.update(fit_edits(counts, editor))
+    return editor
+
+
+def fit_editor(spark: SparkSession, sf_dir: str) -> Editor:
+    """The editor of a data folder: the map over all clean text, the perceptron over all of the papers' digital layer."""
     known = known_words(spark, clean_sources(spark, sf_dir))
-    rows = table(spark, sf_dir, "structured_blocks").where("layer = 'digital' and text is not null").select("block_id", "text")
-    total = max(1, rows.count())
-    drawn = rows.where(F.pmod(F.xxhash64("block_id", F.lit(SEED)), F.lit(total)) < most).distinct().select("text").toArrow().column(0).to_pylist()
-    return train(sorted(drawn), known)
+    digital = [table(spark, sf_dir, name).where("layer = 'digital'").select(key, "text") for name, key in (("structured_blocks", "block_id"), ("sentences", "id"))]
+    return fit_texts(digital[0].distinct().unionByName(digital[1].withColumnRenamed("id", "block_id").distinct()), known)
 
 
 def _scanned(spark: SparkSession, sf_dir: str, repaired: bool) -> DataFrame:
